@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import gif_media, packing
-from .common import table
+from . import gif_media, langid, near_dedup, packing, quality_classifier, quality_rules
+from .common import fold, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3, 1)
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_classifier.score(docs, model, held_out)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4, 2)
+    return langid.identify(docs, langid.fit(docs, ~held_out), held_out)
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +37,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_language_id": op6_language_id,
     "op8_gif_media": op8_gif_media,
     "op9_packing": op9_packing,
 }
