@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import gif_media, langid, near_dedup, packing, quality_classifier, quality_rules
-from .common import fold, table
+from . import gif_media, html_extract, langid, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, warc
+from .common import fold, scratch, stored, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -28,6 +38,27 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, ~held_out), held_out)
 
 
+#: Versions of the two counts that op7 keeps: an estimate from bytes, and the ids of the tokenizer.
+ESTIMATE, EXACT = "bytes/4", "word_bpe_49k"
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: estimates inserted, revised to exact counts, documents without a token deleted.
+
+    The revision is committed twice, as after a driver's restart; it counts once.
+    """
+    rollups = token_counts.Rollups(spark, scratch(spark, "rollups"))
+    rows = stored(token_counts.counted(table(spark, sf_dir, "documents")), "token-counts")
+    estimate = F.ceil(F.col("bytes") / 4)
+    rollups.commit("insert-1", token_counts.inserts(rows, ESTIMATE, estimate))
+    revised = token_counts.revisions(rows, (ESTIMATE, estimate), (EXACT, "tokens"))
+    rollups.commit("revise-1", revised)
+    rollups.commit("revise-1", revised)
+    rollups.compact()
+    rollups.commit("delete-1", token_counts.deletes(rows.where("tokens = 0"), EXACT, "tokens"))
+    return rollups.totals()
+
+
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.digests(gif_media.stored_media(table(spark, sf_dir, "documents")))
 
@@ -36,14 +67,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
     "op8_gif_media": op8_gif_media,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.SQL,
+    "op10_warc": warc.SQL,
+}
