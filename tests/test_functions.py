@@ -1,0 +1,72 @@
+import itertools
+import random
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from txstream.functions import paths, text, timestamps, votes
+from txstream.schemas import ABORT, COMMIT, PATH, REPLAY
+
+
+@pytest.mark.parametrize(("given_", "wanted"), [("CCCARC", REPLAY), ("CCCAC", ABORT), ("CCCC", COMMIT), ("", COMMIT)])
+def test_votes_merge_to_the_worst(given_, wanted):
+    names = {"C": COMMIT, "A": ABORT, "R": REPLAY}
+    assert votes.merge(names[x] for x in given_) == wanted
+
+
+@given(st.lists(st.sampled_from([COMMIT, ABORT, REPLAY]), min_size=1, max_size=6))
+def test_merging_votes_is_associative_and_commutative(found):
+    whole = votes.merge(found)
+    assert votes.merge(reversed(found)) == whole
+    assert votes.merge([votes.merge(found[:2]), votes.merge(found[2:])]) == whole
+
+
+def test_votes_merge_in_groups(spark):
+    rows = spark.createDataFrame([(1, COMMIT), (1, COMMIT), (2, COMMIT), (2, ABORT), (3, ABORT), (3, REPLAY), (3, COMMIT)], "tid long, vote string")
+    found = dict(rows.groupBy("tid").agg(votes.merged("vote").alias("v")).collect())
+    assert found == {1: COMMIT, 2: ABORT, 3: REPLAY}
+
+
+def test_shifted_paths_tell_the_children(spark):
+    rows = spark.createDataFrame([([(1, 1), (1, 5), (1, 3)],)], f"path {PATH}").select(paths.shifted("path").alias("p"))
+    assert [tuple(x) for x in rows.first()["p"]] == [(1, 5), (1, 3), (1, 0)]
+
+
+def test_a_tree_is_complete_with_its_last_leaf(spark):
+    leaves = [[(7, 1), (a, 3), (b, n)] for a, n in ((1, 2), (2, 4), (3, 1)) for b in range(1, n + 1)]
+    random.Random(1).shuffle(leaves)
+    for k in (1, len(leaves) - 1, len(leaves)):
+        rows = spark.createDataFrame([(7, p) for p in leaves[:k] + leaves[:1]], f"tid long, path {PATH}")
+        assert paths.complete(rows).first()["complete"] == (k == len(leaves))
+
+
+def test_paths_order_records(spark):
+    wanted = [(t, [(t, 1), (a, 3), (b, 2)]) for t, a, b in itertools.product(range(1, 6), range(1, 4), range(1, 3))]
+    rows = random.Random(2).sample(wanted, len(wanted))
+    found = spark.createDataFrame(rows, f"tid long, path {PATH}").orderBy("tid", paths.order_key("path")).collect()
+    assert [(r.tid, [tuple(s) for s in r.path]) for r in found] == wanted
+
+
+@pytest.mark.parametrize(("after", "wanted"), [(17, 21), (49, 52), (0, 0), (16, 16), (42, 42)])
+def test_contiguous_prefix(spark, after, wanted):
+    rows = spark.createDataFrame([(x,) for x in (18, 50, 20, 21, 19, 51, 52)], "ts long")
+    assert timestamps.contiguous_high(rows, after).first()["watermark"] == wanted
+
+
+def test_repeated_timestamps_count_once(spark):
+    rows = spark.createDataFrame([(x,) for x in (42, 42, 43, 43)], "ts long")
+    assert [(r.low, r.high, r.n) for r in timestamps.islands(rows).collect()] == [(42, 43, 2)]
+
+
+@pytest.mark.parametrize(("sources", "unit"), [(1, 1), (2, 10), (10, 10), (11, 100), (100, 100), (101, 1000)])
+def test_timestamp_units(sources, unit):
+    assert timestamps.unit(sources) == unit
+
+
+def test_tokens_are_ascii_words(spark):
+    rows = spark.createDataFrame([("To be, or NOT to be_2 -- été",), (None,), ("",), ("...",)], "line string")
+    assert [r.w for r in rows.select(text.tokens(F.col("line")).alias("w")).collect()] == [["to", "be", "or", "not", "to", "be_2", "t"], None, [], []]
+    assert text.words(rows, "line").count() == 7
+    assert rows.select(text.shard_of(F.lit("balances-3")).alias("s")).first()["s"] == "balances"
