@@ -69,6 +69,22 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if text:
             out.append((place, text))
 
+    named: dict[str, int] = {}  # open_'s names, and how often
+
+    def push(name: str) -> None:
+        open_.append([name, place, 0])
+        named[name] = named.get(name, 0) + 1
+
+    def pop(k: int) -> int:
+        """Close the elements from the k-th on; the place before them."""
+        before = open_[k][1]
+        for gone, _, _ in open_[k:]:
+            named[gone] -= 1
+            if not named[gone]:
+                del named[gone]
+        del open_[k:]
+        return before
+
     while at < end:
         tag = _TAG.search(html, at)
         if tag is None:
@@ -94,28 +110,30 @@ def blocks(html: str) -> list[tuple[int, str]]:
             if name in _BLOCKS:
                 flush()
                 if open_ and open_[-1][0] == "p" or open_ and open_[-1][0] == name == "li":  # these close themselves
-                    place = open_.pop()[1]
+                    place = pop(len(open_) - 1)
             if name == "body" and open_ and open_[-1][0] == "head":
-                place = open_.pop()[1]
+                place = pop(len(open_) - 1)
             new = _role(name, attributes, place)
             if new != place:
                 flush()
-                open_.append([name, place, 0])
+                push(name)
                 place = new
-            elif open_ and open_[-1][0] == name:
-                open_[-1][2] += 1
+            elif name in named:  # its end must not end an element of that name further out
+                if open_[-1][0] == name:
+                    open_[-1][2] += 1
+                else:
+                    push(name)
         elif closing:
             name = closing.lower()
             if name in _BLOCKS:
                 flush()
-            for k in range(len(open_) - 1, -1, -1):
+            for k in range(len(open_) - 1, -1, -1) if name in named else ():
                 if open_[k][0] == name:
                     if k == len(open_) - 1 and open_[k][2]:
                         open_[k][2] -= 1
                     else:
                         flush()
-                        place = open_[k][1]
-                        del open_[k:]
+                        place = pop(k)
                     break
     flush()
     return out
