@@ -35,10 +35,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    found = near_dedup.near_duplicates(docs, size=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    found = near_dedup.near_duplicates(docs, size=5, percent=80).where("doc_id is not null")
+    # only ids that go, or that several rows share, are joined with the texts
+    marks = found.groupBy("doc_id").agg(F.min("kept").alias("__dedup_kept"), F.count("*").alias("__dedup_rows")).where("not __dedup_kept or __dedup_rows > 1")
+    marked = docs.join(marks.drop("__dedup_rows"), "doc_id", "left")
+    once = marked.where("__dedup_kept is null").select(docs.columns)
+    return once.union(marked.where("__dedup_kept").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
