@@ -75,7 +75,7 @@ def sorted_suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndar
     while done < depth:
         step = min(done, depth - done)
         after = np.zeros(len(rank), dtype=np.int64)
-        after[: len(rank) - step] = rank[step:] + 1
+        after[: max(0, len(rank) - step)] = rank[step:] + 1
         rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1]
         done += step
     return np.argsort(rank, kind="stable"), rank
