@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 
 # ---------------------------------------------------------------- mixing
-@pytest.mark.parametrize("name", ["op3_mixing", "op10_warc"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op5_near_dedup", "op10_warc"])
 def test_queries_give_what_their_sql_gives(spark, name):
     same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
