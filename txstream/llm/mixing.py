@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 TEMPER = 0.5
 SEED = 17
 STEP = 8.0
@@ -56,18 +58,21 @@ def copies(doc_id: Column, draws: Column, table: Column, seed: int = SEED) -> Co
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temper: float = TEMPER) -> DataFrame:
-    """source, rate: the mean repetitions of each source. One aggregate with partial sums before its shuffle."""
+    """source, rate: the mean repetitions of each source. One aggregate with partial sums before its shuffle.
+
+    The sources' sizes are written, a row each; only their two totals reach the driver.
+    """
     sizes = docs.groupBy(F.col("source").alias(_SOURCE)).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("double")).alias("size"))
     if weights is None:
-        wanted = sizes.withColumn("wish", F.when(F.col("size") > 0, F.pow("size", F.lit(temper))).otherwise(0.0))
+        wish = F.pow("size", F.lit(temper))
     else:
-        given = F.lit(0.0)
+        wish = F.lit(0.0)
         for name, weight in weights.items():
-            given = F.when(F.col(_SOURCE).eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(given)
-        wanted = sizes.withColumn("wish", F.when(F.col("size") > 0, given).otherwise(0.0))
-    total = wanted.agg(F.sum("wish").alias("wishes"), F.sum("size").alias("total"))  # one row
-    rate = F.col("wish") / F.col("wishes") * F.col("total") / F.col("size")
-    return wanted.crossJoin(F.broadcast(total)).select(_SOURCE, F.when((F.col("size") > 0) & (F.col("wishes") > 0), F.round(rate, 9)).otherwise(1.0).alias(_RATE))
+            wish = F.when(F.col(_SOURCE).eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(wish)
+    wanted = stored(sizes.withColumn("wish", F.when(F.col("size") > 0, wish).otherwise(0.0)), "sources")
+    wishes, total = wanted.agg(F.coalesce(F.sum("wish"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
+    rate = F.round(F.col("wish") / F.lit(wishes) * F.lit(total) / F.col("size"), 9) if wishes > 0 else F.lit(1.0)
+    return wanted.select(_SOURCE, F.when(F.col("size") > 0, rate).otherwise(1.0).alias(_RATE))
 
 
 def counted(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, temper: float = TEMPER) -> DataFrame:
