@@ -6,11 +6,14 @@
 2. Classes that share a band key are candidates. Not all pairs of a bucket are made: each member meets one of a few
    representatives of its bucket, chosen by hash (a different one for each fourth of the bands). Candidates are compared
    in batches of ``BATCH`` minima; a pair goes as soon as the posterior probability (uniform prior) that its similarity
-   reaches the threshold falls below ``MISS``. Survivors are confirmed on their full shingle sets, each document's
-   likeliest partner first, and what is then in one component isn't confirmed again.
-3. Buckets that still hold several components are compared whole, in blocks of ``BLOCK`` members, under the same bounds;
-   only survivors from different components leave the block, and all of them are confirmed. So the links lost are those
-   that share no band, (1 - s**ROWS)**BANDS of the pairs at similarity s (3e-6 at 0.8), and MISS of the pruned.
+   reaches the threshold falls below ``MISS``. Survivors join their classes into clusters of similar documents. Buckets
+   that still hold several clusters are compared whole, in pairs of blocks, under the same bounds; a block gives on a
+   forest that joins its surviving pairs, never the pairs.
+3. All surviving pairs lie within clusters. Each cluster is dealt into blocks of about ``BLOCK`` shingles, and each pair of
+   blocks confirms its surviving pairs on full sets in one task. Of the links between two components one is given on.
+
+So pairs never become rows, and the links lost are those that share no band, (1 - s**ROWS)**BANDS of the pairs at
+similarity s (3e-6 at 0.8), and MISS of the pruned.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; a text with fewer words than
 a shingle is one shingle; rows with a null id are linked with nothing, are kept, and have a null component; rows that
@@ -33,7 +36,8 @@ from .components import components
 
 HASHES, ROWS, BANDS = 128, 4, 24
 BATCH, MISS = 16, 1e-6
-BLOCK = 512
+#: Members of a block of minima, and shingles of a block of sets (8 bytes each): a task holds two blocks.
+MEMBERS, BLOCK = 1 << 12, 1 << 20
 #: Representatives of a bucket: as many orders of its members are tried, one for each group of bands.
 ORDERS = 4
 _SKETCH = "doc_id long, n_shingles long, set_key binary, minima binary, bands array<long>"
@@ -130,83 +134,117 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
-    """a, b, matches of the pairs that sequential comparison of their minima doesn't prune."""
+    """a, b of the pairs that sequential comparison of their minima doesn't prune."""
     least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for k in (2, 3)]
-            alive, matches = surviving(*sides, least)
-            at = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(matches)], names=["a", "b", "matches"])
+            at = pa.array(surviving(*sides, least)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     left = small.select(F.col("doc_id").alias("a"), F.col("minima").alias("minima_a"))
     right = small.select(F.col("doc_id").alias("b"), F.col("minima").alias("minima_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "minima_a", "minima_b").mapInArrow(run, "a long, b long, matches long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "minima_a", "minima_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough."""
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                if common and 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+def _common(rows: list[np.ndarray]):
+    """Exact sizes of intersections: sets as bit rows over the shingles that at least two of them have."""
+    values, at, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    shared = n[at] > 1
+    owner, column = owner[shared], column[at[shared]]
+    width, parts = 1 << 15, []
+    for low in range(0, int((n > 1).sum()), width):  # in column ranges, so that a dense part stays small
+        here = (column >= low) & (column < low + width)
+        bits = np.zeros((len(rows), width), dtype=bool)
+        bits[owner[here], column[here] - low] = True
+        parts.append(np.packbits(bits, axis=1).view(np.uint64))
 
+    def sizes(x: int, others: np.ndarray) -> np.ndarray:
+        return sum((np.bitwise_count(p[others] & p[x]).sum(axis=1, dtype=np.int64) for p in parts), np.zeros(len(others), np.int64))
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return sizes
 
 
-def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The pairs whose ends aren't in one component yet."""
-    if labels is None:
-        return pairs
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+def _pairs(group: dict, cross: bool, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a block its partners that survive: with another label, and of another root than its own so far.
 
+    ``cross``: the members are of two blocks (``second`` tells which), and only pairs across them are compared.
+    """
+    label, root, second, small = (group[c] for c in ("label", "root", "second", "small"))
+    for x in np.flatnonzero(~second) if cross else range(len(label)):
+        others = np.flatnonzero(second) if cross else np.arange(x + 1, len(label))
+        others = others[(root[others] != root[x]) & (label[others] != label[x])]
+        if len(others):
+            others = others[surviving(np.broadcast_to(small[x], (len(others), HASHES)), small[others], least)[0]]
+            if len(others):
+                yield x, others
+
+
+def block_clusters(group: dict, cross: bool, least: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (a, b) that join the members of a block into groups within which all its surviving pairs lie."""
+    ids, out = group["ids"], []
+    group = group | {"root": (root := np.arange(len(ids)))}
+    for x, others in _pairs(group, cross, least):
+        for y in others:
+            if root[x] != root[y]:
+                out.append((ids[x], ids[y]))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def block_links(group: dict, cross: bool, least: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the members of a block, confirmed on full sets; of those between two components one is enough."""
+    ids, sets, common, out = group["ids"], group["sets"], None, []
+    sizes = np.array([len(x) for x in sets])
+    group = group | {"root": (root := group["label"].copy())}
+    for x, others in _pairs(group, cross, least):
+        others = others[np.minimum(sizes[others], sizes[x]) * 100 >= percent * np.maximum(sizes[others], sizes[x])]
+        if not len(others):
+            continue
+        common = common or _common(sets)
+        shared = common(x, others)
+        for y in others[100 * shared >= percent * (sizes[x] + sizes[others] - shared)]:
+            if root[x] != root[y]:
+                out.append((ids[x], ids[y]))
+                root[root == root[y]] = root[x]
+    return out
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Survivors among all pairs of a bucket's members (key, id, label, n, minima) with different labels.
 
-    A bucket of n members is dealt into ceil(n / BLOCK) blocks by hash; each pair of blocks meets in one task.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), blocks).alias("own")
-    dealt = members.select("key", "id", "label", "minima", own, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "own", "id", "label", "minima")
-    least = least_matches(percent)
+def _blocks(members: DataFrame, small: DataFrame, sets: DataFrame | None, block: int, percent: int) -> DataFrame:
+    """a, b: what ``block_links`` (with sets) or ``block_clusters`` finds among members (key, id, label, size) of a key.
 
-    def compare(ids: np.ndarray, labels: np.ndarray, own: np.ndarray, small: np.ndarray, i: int, j: int):
-        for x in range(len(ids)):
-            # within a block each pair once; between two blocks, only pairs that cross
-            others = np.flatnonzero((labels != labels[x]) & ((own == j) if i != j else (np.arange(len(ids)) > x)))
-            if i != j and own[x] != i or not len(others):
-                continue
-            alive, matches = surviving(np.broadcast_to(small[x], (len(others), HASHES)), small[others], least)
-            for y, m in zip(others[alive].tolist(), matches.tolist()):
-                yield min(ids[x], ids[y]), max(ids[x], ids[y]), m
+    The members of a key are dealt into ceil(size / block) blocks by hash; each pair of blocks meets in one task.
+    """
+    blocks = F.ceil(F.col("size") / block)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    dealt = members.select("key", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "own")
+    full = dealt.join(small.withColumnRenamed("doc_id", "id"), "id")
+    if sets is not None:
+        full = full.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    least, with_sets = least_matches(percent), sets is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in runs(batches, 3):
-            ids, labels, own = (group.column(c).to_numpy() for c in ("id", "label", "own"))
-            small = np.frombuffer(b"".join(group.column("minima").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-            found = list(compare(ids, labels, own, small, i, j))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "matches"])
+        for (_, i, j), found in runs(batches, 3):
+            group = {
+                "ids": found.column("id").to_numpy(), "label": found.column("label").to_numpy(), "second": (found.column("own").to_numpy() == j) & (i != j),
+                "small": np.frombuffer(b"".join(found.column("minima").to_pylist()), dtype=np.uint8).reshape(-1, HASHES),
+            }
+            if with_sets:
+                group["sets"] = [np.frombuffer(x, dtype=np.uint64) for x in found.column("shingles").to_pylist()]
+            pairs = block_links(group, bool(i != j), least, percent) if with_sets else block_clusters(group, bool(i != j), least)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, matches long")
+    full = full.select("key", "i", "j", "id", "label", "own", "minima", *(["shingles"] if with_sets else []))
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -237,35 +275,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketch = stored(sketches(docs, size), "sketches")
     known = sketch.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    leaders = stored(known.join(classes, (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select("doc_id", "minima", "bands"), "leaders")
+    leaders = stored(known.join(classes, (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select("doc_id", "n_shingles", "minima", "bands"), "leaders")
     small = leaders.select("doc_id", "minima")
 
     bands = leaders.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     tried = F.min_by(F.col("id"), F.xxhash64(F.col("id"), F.pmod("band", F.lit(ORDERS))))
     buckets = stored(bands.groupBy("key").agg(tried.alias("rep"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = bands.select("key", "id").join(buckets, "key")
+    members = stored(bands.select("key", "id").join(buckets, "key"), "members")
     pairs = members.where("id != rep").select(*_ordered("id", "rep")).distinct()
     open_pairs = stored(compared(pairs, small, percent), "survivors")
+    similar = components(open_pairs)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return stored(confirmed(pairs, stored(shingle_sets(docs, ids, size), "sets"), percent), "confirmed")
-
-    # first the likeliest partner of each, then what components don't hold together yet
-    best = open_pairs.groupBy("a").agg(F.max_by("b", "matches").alias("b"))
-    links = confirm(best)
-    labels = components(links)
-    links = links.union(confirm(_apart(open_pairs, labels).join(best, ["a", "b"], "left_anti")))
-    labels = components(links)
-
-    named = members.where("n > 2").join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
+    # buckets whose representatives haven't brought all their members together
+    named = members.where("n > 2").join(similar, "id", "left").select("key", "id", F.col("n").alias("size"), F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    rest = named.join(mixed, "key").join(small.withColumnRenamed("doc_id", "id"), "id")
-    late = stored(_blocks(rest, percent), "late")
-    if not late.isEmpty():
-        links = links.union(confirm(late.join(open_pairs, ["a", "b"], "left_anti")))
-        labels = components(links)
+    more = stored(_blocks(named.join(mixed, "key"), small, None, MEMBERS, percent), "forest")
+    if not more.isEmpty():
+        similar = components(open_pairs.union(more))
+
+    near = stored(leaders.select(F.col("doc_id").alias("id"), "n_shingles").join(similar, "id").select(F.col("component").alias("key"), "id", F.col("id").alias("label"), "n_shingles"), "near")
+    sizes = near.groupBy("key").agg(F.sum("n_shingles").alias("size"))
+    sets = shingle_sets(docs, near.select(F.col("id").alias("doc_id")), size)
+    labels = components(_blocks(near.join(sizes, "key"), small, sets, BLOCK, percent))
 
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
