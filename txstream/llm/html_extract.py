@@ -6,7 +6,8 @@
    up to ``SHARD`` tokens at a time, and their suffixes sorted to depth ``LONG``: neighbours that agree so far begin a
    long substring. Each distinct one is passed on with the number of distinct pages that have it.
 3. The counts of a host's shards are added up. What ``PAGES`` distinct pages of a host have is repeated.
-4. Tokens covered by repeated substrings are boilerplate; runs that are the page's own stay.
+4. Tokens covered by repeated substrings are boilerplate; runs that are the page's own stay. Only pages that mark no
+   article are joined with what their host repeats; articles are read in a scan of their own, without a shuffle.
 
 A passage that several articles quote, or an article that appears on two pages of a host, is repeated too, but is no
 boilerplate; and the template of a host with one page never repeats. So repetition decides about blocks outside
@@ -35,7 +36,7 @@ PAGES = 2
 SHARD = 1 << 20
 #: A block of which so much is covered by repeated substrings goes.
 COVERED = 0.5
-_PAGES = "row long, page_id long, url string, host string, places array<int>, texts array<string>, stream binary"
+_PAGES = "row long, page_id long, url string, host string, marked boolean, places array<int>, texts array<string>, stream binary"
 _COUNTS = "host string, print long, pages long"
 _TEXTS = "page_id long, url string, text string, n_chars long, n_blocks int, n_repeated int, repeated_tokens long"
 _BOUNDARY = b"\x00block"
@@ -105,6 +106,8 @@ def repeated_counts(streams: list[np.ndarray], length: int = LONG) -> tuple[np.n
 
 
 def scanned(pages: DataFrame) -> DataFrame:
+    """Hosts and token streams of all pages; the blocks only of those that mark no article."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -113,7 +116,10 @@ def scanned(pages: DataFrame) -> DataFrame:
             streams = [stream_of(p, t)[0].tobytes() for p, t in zip(places, texts)]
             rows = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
-            made = [pa.array([host_of(u) for u in batch.column(1).to_pylist()]), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(streams, pa.binary())]
+            marked = [ARTICLE in p for p in places]
+            for b in (places, texts):
+                b[:] = [[] if m else x for m, x in zip(marked, b)]
+            made = [pa.array([host_of(u) for u in batch.column(1).to_pylist()]), pa.array(marked, pa.bool_()), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(streams, pa.binary())]
             yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(1), *made], names=[x.split()[0] for x in _PAGES.split(", ")])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _PAGES)
@@ -143,8 +149,26 @@ def shard_counts(scans: DataFrame, length: int = LONG) -> DataFrame:
     return dealt.select("host", "stream").mapInArrow(run, _COUNTS)
 
 
+def _marked(pages: DataFrame) -> DataFrame:
+    """The articles of pages that mark one: a scan without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks(h or "") for h in batch.column(2).to_pylist()]
+            at = [k for k, b in enumerate(found) if any(p == ARTICLE for p, _ in b)]
+            out = ["\n\n".join(t for p, t in found[k] if p == ARTICLE) for k in at]
+            made = [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array([len(found[k]) for k in at], pa.int32()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())]
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *made], names=[x.split()[0] for x in _TEXTS.split(", ")])
+
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _TEXTS)
+
+
 def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars for every row, with the number of its blocks and of those that repetition removed."""
+    """page_id, url, text, n_chars for every row, and the number of its blocks.
+
+    For pages that mark no article also the number of blocks that repetition removed, and of tokens that it covered.
+    """
     scans = stored(scanned(pages), "pages")
     repeated = shard_counts(scans, length).groupBy("host", "print").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= at_least)
 
@@ -154,7 +178,8 @@ def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> Data
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["row", "host", "print"])
 
-    windows_ = scans.where(F.length("stream") > 0).select("row", "host", "stream").mapInArrow(own, "row long, host string, print long")
+    open_pages = scans.where(~F.col("marked"))
+    windows_ = open_pages.where(F.length("stream") > 0).select("row", "host", "stream").mapInArrow(own, "row long, host string, print long")
     covered = windows_.join(repeated.select("host", "print"), ["host", "print"]).groupBy("row").agg(F.collect_list("print").alias("prints"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +187,13 @@ def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> Data
             out = []
             for places, texts, prints_ in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 gone, tokens = repeated_blocks(places, texts, prints_ or [], length)
-                article = ARTICLE in places
-                text = "\n\n".join(t for k, (p, t) in enumerate(zip(places, texts)) if (p == ARTICLE if article else p == FREE and k not in gone))
+                text = "\n\n".join(t for k, (p, t) in enumerate(zip(places, texts)) if p == FREE and k not in gone)
                 out.append((text, len(text), len(texts), len(gone), tokens))
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)]], names=[x.split()[0] for x in _TEXTS.split(", ")])
 
-    return scans.join(covered, "row", "left").select("page_id", "url", "places", "texts", "prints").mapInArrow(run, _TEXTS)
+    decided = open_pages.join(covered, "row", "left").select("page_id", "url", "places", "texts", "prints").mapInArrow(run, _TEXTS)
+    return _marked(pages).union(decided)
 
 
 def repeated_blocks(places: list[int], texts: list[str], repeated: list[int], length: int = LONG) -> tuple[set[int], int]:
