@@ -320,5 +320,7 @@ def test_stages_take_odd_rows(spark, odd, empty, clashing):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
-            assert out.count() <= 4 * docs.count()
+            # filters only take away; mixing repeats small sources as often as their rates say
+            most = docs.count() if stage is not corpus_pipeline.mix else sum(r["__mix_copies"] for r in mixing.counted(docs).collect())
+            assert out.count() <= most
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
