@@ -121,3 +121,12 @@ def test_odd_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
     clashing = spark.createDataFrame([(1, "u", "<p>x", 3, 4, 5)], PAGES + ", row int, host int, print int")
     assert html_extract.extract(clashing).first().text == "x"
+
+
+def test_repetition_decides_on_pages_with_articles_too(spark):
+    menu = "m1 m2 m3 m4 m5 m6 m7 m8 m9"
+    rows = [(k, "http://h.example/", f"<div>{menu}</div><article><p>story {k}</p></article><p>{' '.join(f'n{k}x{j}' for j in range(12))}</p>") for k in range(6)]
+    found = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(6):
+        assert found[k].text == f"story {k}\n\n{' '.join(f'n{k}x{j}' for j in range(12))}"
+        assert (found[k].n_repeated, found[k].repeated_tokens) == (1, 10 + 1)  # the menu, its boundary and the next one

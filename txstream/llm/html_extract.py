@@ -6,12 +6,13 @@
    up to ``SHARD`` tokens at a time, and their suffixes sorted to depth ``LONG``: neighbours that agree so far begin a
    long substring. Each distinct one is passed on with the number of distinct pages that have it.
 3. The counts of a host's shards are added up. What ``PAGES`` distinct pages of a host have is repeated.
-4. Tokens covered by repeated substrings are boilerplate; runs that are the page's own stay. Only pages that mark no
-   article are joined with what their host repeats; articles are read in a scan of their own, without a shuffle.
+4. All pages are joined with what their host repeats. Tokens covered by repeated substrings are boilerplate; runs that
+   are the page's own stay.
 
 A passage that several articles quote, or an article that appears on two pages of a host, is repeated too, but is no
-boilerplate; and the template of a host with one page never repeats. So repetition decides about blocks outside
-articles, and where a page marks its article, the article is the page's text. README says more.
+boilerplate; and the template of a host with one page never repeats. So marks are
+evidence: marked articles stay, marked boilerplate goes, and repetition decides about all other blocks of every page,
+whether it marks an article or not. README says more.
 
 Defined cases: a null html counts as empty and gives an empty text; a null url is a host of its own; repeated rows count
 as pages of their own and are extracted each; an empty table gives none; other columns are ignored.
@@ -24,7 +25,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ PAGES = 2
 SHARD = 1 << 20
 #: A block of which so much is covered by repeated substrings goes.
 COVERED = 0.5
-_PAGES = "row long, page_id long, url string, host string, marked boolean, places array<int>, texts array<string>, stream binary"
+_STREAMS = "key long, host string, stream binary"
+_PAGES = "key long, page_id long, url string, places array<int>, texts array<string>"
 _COUNTS = "host string, print long, pages long"
 _TEXTS = "page_id long, url string, text string, n_chars long, n_blocks int, n_repeated int, repeated_tokens long"
 _BOUNDARY = b"\x00block"
@@ -61,6 +63,11 @@ def stream_of(places: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(tokens), np.concatenate(owners)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def key_of(host: str, stream: bytes) -> int:
+    """What repetition decides depends on a page's host and stream alone; a page without a stream has a key of any kind."""
+    return xxhash.xxh64_intdigest(stream, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))) - (1 << 63)
+
+
 def prints(tokens: np.ndarray, length: int = LONG) -> np.ndarray:
     """A hash of the ``length`` tokens from each position that has so many."""
     return windows(tokens, length).view(np.int64) if len(tokens) >= length else np.zeros(0, np.int64)
@@ -106,23 +113,20 @@ def repeated_counts(streams: list[np.ndarray], length: int = LONG) -> tuple[np.n
 
 
 def scanned(pages: DataFrame) -> DataFrame:
-    """Hosts and token streams of all pages; the blocks only of those that mark no article."""
+    """Hosts and token streams of all pages; pages of a host with equal streams share their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            found = [blocks(h or "") for h in batch.column(2).to_pylist()]
-            places, texts = [[p for p, _ in b] for b in found], [[t for _, t in b] for b in found]
-            streams = [stream_of(p, t)[0].tobytes() for p, t in zip(places, texts)]
-            rows = pa.array(np.arange(row, row + batch.num_rows))
-            row += batch.num_rows
-            marked = [ARTICLE in p for p in places]
-            for b in (places, texts):
-                b[:] = [[] if m else x for m, x in zip(marked, b)]
-            made = [pa.array([host_of(u) for u in batch.column(1).to_pylist()]), pa.array(marked, pa.bool_()), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(streams, pa.binary())]
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(1), *made], names=[x.split()[0] for x in _PAGES.split(", ")])
+            hosts, streams = [host_of(u) for u in batch.column(0).to_pylist()], []
+            for h in batch.column(1).to_pylist():
+                found = blocks(h or "")
+                streams.append(stream_of([p for p, _ in found], [t for _, t in found])[0].tobytes())
+            keys = [key_of(h, s) for h, s in zip(hosts, streams)]
+            at = pa.array([k for k, s in enumerate(streams) if s], pa.int64())
+            made = [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(streams, pa.binary())]
+            yield pa.RecordBatch.from_arrays([m.take(at) for m in made], names=[x.split()[0] for x in _STREAMS.split(", ")])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _PAGES)
+    return pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _STREAMS)
 
 
 def shard_counts(scans: DataFrame, length: int = LONG) -> DataFrame:
@@ -145,30 +149,30 @@ def shard_counts(scans: DataFrame, length: int = LONG) -> DataFrame:
         if held:
             yield given(host, held)
 
-    dealt = scans.where(F.length("stream") > 0).select("host", "row", "stream").repartitionByRange("host", F.xxhash64("row")).sortWithinPartitions("host")
+    dealt = scans.select("host", "key", "stream").repartitionByRange("host", "key").sortWithinPartitions("host")
     return dealt.select("host", "stream").mapInArrow(run, _COUNTS)
 
 
-def _marked(pages: DataFrame) -> DataFrame:
-    """The articles of pages that mark one: a scan without a shuffle."""
+def _read(pages: DataFrame) -> DataFrame:
+    """The blocks of all pages under the keys of their streams; a page without one has a key that spreads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(h or "") for h in batch.column(2).to_pylist()]
-            at = [k for k, b in enumerate(found) if any(p == ARTICLE for p, _ in b)]
-            out = ["\n\n".join(t for p, t in found[k] if p == ARTICLE) for k in at]
-            made = [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array([len(found[k]) for k in at], pa.int32()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())]
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *made], names=[x.split()[0] for x in _TEXTS.split(", ")])
+            keys, places, texts = [], [], []
+            for k, (u, h) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = blocks(h or "")
+                places.append([p for p, _ in found])
+                texts.append([t for _, t in found])
+                stream = stream_of(places[-1], texts[-1])[0].tobytes()
+                keys.append(key_of(host_of(u), stream) if stream else k)
+            made = [pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1), *made], names=[x.split()[0] for x in _PAGES.split(", ")])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _TEXTS)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _PAGES)
 
 
 def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars for every row, and the number of its blocks.
-
-    For pages that mark no article also the number of blocks that repetition removed, and of tokens that it covered.
-    """
+    """page_id, url, text, n_chars for every row, with the number of its blocks and of those that repetition covers."""
     scans = stored(scanned(pages), "pages")
     repeated = shard_counts(scans, length).groupBy("host", "print").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= at_least)
 
@@ -176,24 +180,23 @@ def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> Data
         for batch in batches:
             found = [np.unique(prints(np.frombuffer(s, dtype=np.uint64), length)) for s in batch.column(2).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["row", "host", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["key", "host", "print"])
 
-    open_pages = scans.where(~F.col("marked"))
-    windows_ = open_pages.where(F.length("stream") > 0).select("row", "host", "stream").mapInArrow(own, "row long, host string, print long")
-    covered = windows_.join(repeated.select("host", "print"), ["host", "print"]).groupBy("row").agg(F.collect_list("print").alias("prints"))
+    # hosts as numbers, so that rows of the join are short; copies ask once
+    windows_ = scans.dropDuplicates(["key"]).select("key", F.xxhash64("host").alias("host"), "stream").mapInArrow(own, "key long, host long, print long")
+    covered = windows_.join(repeated.select(F.xxhash64("host").alias("host"), "print"), ["host", "print"]).groupBy("key").agg(F.collect_list("print").alias("prints"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for places, texts, prints_ in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 gone, tokens = repeated_blocks(places, texts, prints_ or [], length)
-                text = "\n\n".join(t for k, (p, t) in enumerate(zip(places, texts)) if p == FREE and k not in gone)
+                text = "\n\n".join(t for k, (p, t) in enumerate(zip(places, texts)) if p == ARTICLE or p == FREE and k not in gone)
                 out.append((text, len(text), len(texts), len(gone), tokens))
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)]], names=[x.split()[0] for x in _TEXTS.split(", ")])
 
-    decided = open_pages.join(covered, "row", "left").select("page_id", "url", "places", "texts", "prints").mapInArrow(run, _TEXTS)
-    return _marked(pages).union(decided)
+    return _read(pages).join(covered, "key", "left").select("page_id", "url", "places", "texts", "prints").mapInArrow(run, _TEXTS)
 
 
 def repeated_blocks(places: list[int], texts: list[str], repeated: list[int], length: int = LONG) -> tuple[set[int], int]:
