@@ -130,3 +130,29 @@ def test_repetition_decides_on_pages_with_articles_too(spark):
     for k in range(6):
         assert found[k].text == f"story {k}\n\n{' '.join(f'n{k}x{j}' for j in range(12))}"
         assert (found[k].n_repeated, found[k].repeated_tokens) == (1, 10 + 1)  # the menu, its boundary and the next one
+
+
+def own_words(name, n):
+    return " ".join(f"{name}x{j}" for j in range(n))
+
+
+def test_copies_keep_their_text(spark):
+    """Equal pages, a row that stands twice, a near copy, and pages without a host: none repeats another away."""
+    body = f"<p>{own_words('a', 30)}</p><p>{own_words('b', 40)}</p>"
+    text = f"{own_words('a', 30)}\n\n{own_words('b', 40)}"
+    rows = [(1, "http://h.example/a", body), (2, "https://h.example/a", body), (2, "https://h.example/a", body), (3, "http://h.example/a?print", body + "<p>print view</p>")]
+    rows += [(4, None, body), (5, "http://[bad", body), (6, None, body)]
+    found = html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()
+    assert Counter((r.page_id, r.text) for r in found) == Counter({(1, text): 1, (2, text): 2, (3, text + "\n\nprint view"): 1, (4, text): 1, (5, text): 1, (6, text): 1})
+
+
+def test_quotes_of_two_unmarked_pages_stay(spark):
+    menu, passage = own_words("m", 9), own_words("q", 60)
+    rows = [(k, f"http://h.example/{k}", f"<div>{menu}</div><p>{own_words(f'o{k}', 50)}</p>" + (f"<p>{passage}</p>" if k < 2 else "")) for k in range(8)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {k: own_words(f"o{k}", 50) + (f"\n\n{passage}" if k < 2 else "") for k in range(8)}
+
+
+def test_same_template_around_different_articles_is_repeated(spark):
+    rows = [(k, "http://h.example/", f"<div>{own_words('m', 9)}</div><article><p>{own_words(f'o{k}', 30)}</p></article>") for k in range(6)]
+    assert {r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()} == {own_words(f"o{k}", 30) for k in range(6)}

@@ -5,7 +5,8 @@
    in ranges, so a host with many pages falls into several tasks. In each task the streams of a host are concatenated,
    up to ``SHARD`` tokens at a time, and their suffixes sorted to depth ``LONG``: neighbours that agree so far begin a
    long substring. Each distinct one is passed on with the number of distinct pages that have it.
-3. The counts of a host's shards are added up. What ``PAGES`` distinct pages of a host have is repeated.
+3. The counts of a host's shards are added up. Copies of a page, equal or near, are one distinct page. What a share of a
+   host's distinct pages have (``SHARE``; at least ``SURE``, or ``PAGES`` of a host of two) is repeated.
 4. All pages are joined with what their host repeats. Tokens covered by repeated substrings are boilerplate; runs that
    are the page's own stay.
 
@@ -14,8 +15,8 @@ boilerplate; and the template of a host with one page never repeats. So marks ar
 evidence: marked articles stay, marked boilerplate goes, and repetition decides about all other blocks of every page,
 whether it marks an article or not. README says more.
 
-Defined cases: a null html counts as empty and gives an empty text; a null url is a host of its own; repeated rows count
-as pages of their own and are extracted each; an empty table gives none; other columns are ignored.
+Defined cases: a null html counts as empty and gives an empty text; a page whose url is null or names no host has
+no host to repeat it and keeps its text; repeated rows count as one page and are extracted each; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +30,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, stored, windows
-from .markup import ARTICLE, FREE, blocks
+from .common import WordHash, mixed, stored, windows
+from .markup import ARTICLE, BOILERPLATE, FREE, blocks
 
 LONG = 8
 PAGES = 2
 SHARD = 1 << 20
 #: A block of which so much is covered by repeated substrings goes.
 COVERED = 0.5
-_STREAMS = "key long, host string, stream binary"
+#: What counts as repeated: on PAGES distinct pages at least, on SURE of them where the host has so many (two pages
+#: that quote one another are no template), and on this share of them.
+SURE = 3
+SHARE = 0.25
+#: Pages of a host whose contents agree in so many of the minima of their substrings are copies and count once.
+MINIMA, COPIES = 16, 13
+_STREAMS = "key long, host string, sketch binary, stream binary"
 _PAGES = "key long, page_id long, url string, places array<int>, texts array<string>"
 _COUNTS = "host string, print long, pages long"
 _TEXTS = "page_id long, url string, text string, n_chars long, n_blocks int, n_repeated int, repeated_tokens long"
@@ -68,6 +75,35 @@ def key_of(host: str, stream: bytes) -> int:
     return xxhash.xxh64_intdigest(stream, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))) - (1 << 63)
 
 
+def sketch_of(places: list[int], texts: list[str]) -> bytes:
+    """Minima of the hashed substrings of a page's content: all but marked boilerplate, or that if there is nothing else."""
+    content = [t for p, t in zip(places, texts) if p != BOILERPLATE] or texts
+    tokens = windows(_words.of(" ".join(content).encode("utf-8", "surrogatepass").split()), LONG)
+    return b"".join((mixed(tokens ^ np.uint64(k + 1)).min() >> np.uint64(16)).tobytes()[:6] for k in range(MINIMA))
+
+
+def copies(sketches: list[bytes]) -> np.ndarray:
+    """For each page the number of its group of copies, equal or near.
+
+    Sorted by each of the minima in turn, near copies are neighbours; linked groups are joined.
+    """
+    grid = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), MINIMA, 6).astype(np.int64) @ (1 << np.arange(0, 48, 8))
+    first = list(range(len(grid)))
+
+    def root(k: int) -> int:
+        while first[k] != k:
+            first[k] = first[first[k]]
+            k = first[k]
+        return k
+
+    for turn in range(MINIMA):
+        order = np.lexsort(np.roll(grid, -turn, axis=1).T[::-1])
+        near = (grid[order[1:]] == grid[order[:-1]]).sum(axis=1) >= COPIES
+        for a, b in zip(order[:-1][near].tolist(), order[1:][near].tolist()):
+            first[root(b)] = root(a)
+    return np.unique([root(k) for k in range(len(grid))], return_inverse=True)[1]
+
+
 def prints(tokens: np.ndarray, length: int = LONG) -> np.ndarray:
     """A hash of the ``length`` tokens from each position that has so many."""
     return windows(tokens, length).view(np.int64) if len(tokens) >= length else np.zeros(0, np.int64)
@@ -89,8 +125,9 @@ def sorted_suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndar
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated_counts(streams: list[np.ndarray], length: int = LONG) -> tuple[np.ndarray, np.ndarray]:
-    """Each distinct substring of ``length`` tokens as its print, and how many of the streams have it."""
+def repeated_counts(streams: list[np.ndarray], length: int = LONG, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct substring of ``length`` tokens as its print, and how many of the streams (or of their groups) have it."""
+    groups = np.arange(len(streams)) if groups is None else groups
     page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
     names = np.unique(np.concatenate(streams), return_inverse=True)[1] if streams else np.zeros(0, np.int64)
     joined, at, made = np.empty(len(page), np.int64), 0, 0
@@ -108,7 +145,7 @@ def repeated_counts(streams: list[np.ndarray], length: int = LONG) -> tuple[np.n
     if not len(suffixes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     group = np.cumsum(np.concatenate([[True], rank[suffixes][1:] != rank[suffixes][:-1]])) - 1
-    distinct = np.unique(group * len(streams) + page[suffixes]) // len(streams)
+    distinct = np.unique(group * len(streams) + groups[page[suffixes]]) // len(streams)
     return marks[suffixes[np.concatenate([[True], group[1:] != group[:-1]])]], np.bincount(distinct)
 
 
@@ -117,40 +154,60 @@ def scanned(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, streams = [host_of(u) for u in batch.column(0).to_pylist()], []
+            hosts, streams, sketches = [host_of(u) for u in batch.column(0).to_pylist()], [], []
             for h in batch.column(1).to_pylist():
                 found = blocks(h or "")
-                streams.append(stream_of([p for p, _ in found], [t for _, t in found])[0].tobytes())
+                places, texts = [p for p, _ in found], [t for _, t in found]
+                streams.append(stream_of(places, texts)[0].tobytes())
+                sketches.append(sketch_of(places, texts) if texts else None)
             keys = [key_of(h, s) for h, s in zip(hosts, streams)]
-            at = pa.array([k for k, s in enumerate(streams) if s], pa.int64())
-            made = [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(streams, pa.binary())]
+            at = pa.array([k for k, (h, s) in enumerate(zip(hosts, sketches)) if h and s], pa.int64())
+            made = [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(sketches, pa.binary()), pa.array(streams, pa.binary())]
             yield pa.RecordBatch.from_arrays([m.take(at) for m in made], names=[x.split()[0] for x in _STREAMS.split(", ")])
 
     return pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _STREAMS)
 
 
 def shard_counts(scans: DataFrame, length: int = LONG) -> DataFrame:
-    """host, print, pages: counts of each shard of a host."""
+    """host, print, pages: counts of each shard of a host, copies counted once; a null print counts the shard's pages.
+
+    A host's pages are dealt in order of their sketches, so that copies meet: equal ones always; near ones unless the
+    host is cut into shards or tasks between them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def given(host: str, streams: list[np.ndarray]) -> pa.RecordBatch:
-            marks, counts = repeated_counts(streams, length)
+        def given(host: str, streams: list[np.ndarray], sketches: list[bytes]) -> pa.RecordBatch:
+            groups = copies(sketches)
+            marks, counts = repeated_counts(streams, length, groups)
+            marks, counts = [None, *marks.tolist()], [int(groups.max()) + 1, *counts.tolist()]
             return pa.RecordBatch.from_arrays([pa.array([host] * len(marks), pa.string()), pa.array(marks, pa.int64()), pa.array(counts, pa.int64())], names=["host", "print", "pages"])
 
-        host, held, size = None, [], 0
+        host, held, sketches, size, last = None, [], [], 0, None
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held and (name != host or size >= SHARD):
-                    yield given(host, held)
-                    held, size = [], 0
-                host = name
+            for name, sketch, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (name, sketch, data) == last:
+                    continue
+                # a run of equal sketches isn't cut, unless it is long
+                if held and (name != host or size >= SHARD and (sketch != sketches[-1] or size >= 4 * SHARD)):
+                    yield given(host, held, sketches)
+                    held, sketches, size = [], [], 0
+                host, last = name, (name, sketch, data)
                 held.append(np.frombuffer(data, dtype=np.uint64))
-                size += len(held[-1])
+                sketches.append(sketch)
+                size += len(held[-1]) + 1
         if held:
-            yield given(host, held)
+            yield given(host, held, sketches)
+
+    dealt = scans.select("host", "sketch", "key", "stream").repartitionByRange("host", "sketch").sortWithinPartitions("host", "sketch", "key")
+    return dealt.select("host", "sketch", "stream").mapInArrow(run, _COUNTS)
+
 
-    dealt = scans.select("host", "key", "stream").repartitionByRange("host", "key").sortWithinPartitions("host")
-    return dealt.select("host", "stream").mapInArrow(run, _COUNTS)
+def repeated_prints(scans: DataFrame, length: int = LONG, at_least: int = PAGES) -> DataFrame:
+    """host (as a number) and print of what enough of the host's distinct pages have."""
+    counts = shard_counts(scans, length).groupBy(F.xxhash64("host").alias("host"), "print").agg(F.sum("pages").alias("pages"))
+    counts = stored(counts.where(F.col("print").isNull() | (F.col("pages") >= at_least)), "prints")
+    hosts = counts.where("print is null").select("host", F.greatest(F.lit(at_least), F.least(F.lit(SURE), "pages"), F.ceil(F.col("pages") * SHARE)).alias("needed"))
+    return counts.where("print is not null").join(hosts, "host").where("pages >= needed").select("host", "print")
 
 
 def _read(pages: DataFrame) -> DataFrame:
@@ -164,7 +221,8 @@ def _read(pages: DataFrame) -> DataFrame:
                 places.append([p for p, _ in found])
                 texts.append([t for _, t in found])
                 stream = stream_of(places[-1], texts[-1])[0].tobytes()
-                keys.append(key_of(host_of(u), stream) if stream else k)
+                host = host_of(u)
+                keys.append(key_of(host, stream) if host and stream else k)
             made = [pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1), *made], names=[x.split()[0] for x in _PAGES.split(", ")])
 
@@ -174,7 +232,7 @@ def _read(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row, with the number of its blocks and of those that repetition covers."""
     scans = stored(scanned(pages), "pages")
-    repeated = shard_counts(scans, length).groupBy("host", "print").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= at_least)
+    repeated = repeated_prints(scans, length, at_least)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +242,7 @@ def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> Data
 
     # hosts as numbers, so that rows of the join are short; copies ask once
     windows_ = scans.dropDuplicates(["key"]).select("key", F.xxhash64("host").alias("host"), "stream").mapInArrow(own, "key long, host long, print long")
-    covered = windows_.join(repeated.select(F.xxhash64("host").alias("host"), "print"), ["host", "print"]).groupBy("key").agg(F.collect_list("print").alias("prints"))
+    covered = windows_.join(repeated, ["host", "print"]).groupBy("key").agg(F.collect_list("print").alias("prints"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
