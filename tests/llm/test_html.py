@@ -156,3 +156,13 @@ def test_quotes_of_two_unmarked_pages_stay(spark):
 def test_same_template_around_different_articles_is_repeated(spark):
     rows = [(k, "http://h.example/", f"<div>{own_words('m', 9)}</div><article><p>{own_words(f'o{k}', 30)}</p></article>") for k in range(6)]
     assert {r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()} == {own_words(f"o{k}", 30) for k in range(6)}
+
+
+def test_unique_runs_stay_in_blocks_with_boilerplate(spark):
+    """A paragraph mostly repeated keeps its own words; one that is less than half repeated loses the repeated ones."""
+    b, c = own_words("b", 30), own_words("c", 20)
+    rows = [(k, f"http://h.example/{k}", f"<p>{b} {own_words(f'o{k}', 25)}</p><p>{own_words(f'p{k}', 15)} {c} {own_words(f'q{k}', 15)}</p>plain<br>{own_words(f'r{k}', 9)}") for k in range(5)]
+    found = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(5):
+        assert found[k].text.split("\n\n") == [own_words(f"o{k}", 25), own_words(f"p{k}", 15), own_words(f"q{k}", 15), f"plain {own_words(f'r{k}', 9)}"]
+        assert (found[k].n_repeated, found[k].repeated_tokens) == (0, 1 + 30 + 20)

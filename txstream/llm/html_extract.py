@@ -7,8 +7,8 @@
    long substring. Each distinct one is passed on with the number of distinct pages that have it.
 3. The counts of a host's shards are added up. Copies of a page, equal or near, are one distinct page. What a share of a
    host's distinct pages have (``SHARE``; at least ``SURE``, or ``PAGES`` of a host of two) is repeated.
-4. All pages are joined with what their host repeats. Tokens covered by repeated substrings are boilerplate; runs that
-   are the page's own stay.
+4. All pages are joined with what their host repeats. Tokens covered by repeated substrings are boilerplate and are
+   cut out of their blocks; runs that are the page's own stay, each as a paragraph.
 
 A passage that several articles quote, or an article that appears on two pages of a host, is repeated too, but is no
 boilerplate; and the template of a host with one page never repeats. So marks are
@@ -36,8 +36,6 @@ from .markup import ARTICLE, BOILERPLATE, FREE, blocks
 LONG = 8
 PAGES = 2
 SHARD = 1 << 20
-#: A block of which so much is covered by repeated substrings goes.
-COVERED = 0.5
 #: What counts as repeated: on PAGES distinct pages at least, on SURE of them where the host has so many (two pages
 #: that quote one another are no template), and on this share of them.
 SURE = 3
@@ -230,7 +228,7 @@ def _read(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars for every row, with the number of its blocks and of those that repetition covers."""
+    """page_id, url, text, n_chars for every row, with the number of its blocks and of those that repetition covers wholly."""
     scans = stored(scanned(pages), "pages")
     repeated = repeated_prints(scans, length, at_least)
 
@@ -248,19 +246,20 @@ def extract(pages: DataFrame, length: int = LONG, at_least: int = PAGES) -> Data
         for batch in batches:
             out = []
             for places, texts, prints_ in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                gone, tokens = repeated_blocks(places, texts, prints_ or [], length)
-                text = "\n\n".join(t for k, (p, t) in enumerate(zip(places, texts)) if p == ARTICLE or p == FREE and k not in gone)
-                out.append((text, len(text), len(texts), len(gone), tokens))
+                kept, gone, tokens = own_runs(places, texts, prints_ or [], length)
+                text = "\n\n".join(kept)
+                out.append((text, len(text), len(texts), gone, tokens))
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)]], names=[x.split()[0] for x in _TEXTS.split(", ")])
 
     return _read(pages).join(covered, "key", "left").select("page_id", "url", "places", "texts", "prints").mapInArrow(run, _TEXTS)
 
 
-def repeated_blocks(places: list[int], texts: list[str], repeated: list[int], length: int = LONG) -> tuple[set[int], int]:
-    """The blocks that repeated substrings cover enough of, and the number of covered tokens."""
+def own_runs(places: list[int], texts: list[str], repeated: list[int], length: int = LONG) -> tuple[list[str], int, int]:
+    """The texts of articles and the runs of other unmarked blocks that repeated substrings don't cover, in order; the
+    number of blocks that they cover wholly, and of covered tokens."""
     if not repeated:
-        return set(), 0
+        return [t for p, t in zip(places, texts) if p != BOILERPLATE], 0, 0
     tokens, owners = stream_of(places, texts)
     hit = np.isin(prints(tokens, length), np.array(repeated, dtype=np.int64))
     cover = np.zeros(len(tokens) + 1, dtype=np.int64)
@@ -268,5 +267,18 @@ def repeated_blocks(places: list[int], texts: list[str], repeated: list[int], le
     np.add.at(cover, at, 1)
     np.add.at(cover, at + length, -1)
     covered = np.cumsum(cover)[:-1] > 0
-    total, part = np.bincount(owners), np.bincount(owners, weights=covered)
-    return set(np.flatnonzero((total > 0) & (part >= COVERED * np.maximum(total, 1))).tolist()), int(covered.sum())
+    kept, gone = [], 0
+    starts = np.searchsorted(owners, np.arange(len(texts) + 1))
+    for k, (place, text) in enumerate(zip(places, texts)):
+        if place == ARTICLE:
+            kept.append(text)
+            continue
+        inside = covered[starts[k] + 1 : starts[k + 1]]  # without the boundary
+        gone += bool(inside.all())
+        if place == FREE and not inside.any():
+            kept.append(text)
+        elif place == FREE:
+            words = text.split(" ")
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], inside, [True]])))
+            kept += [" ".join(words[a:b]) for a, b in edges.reshape(-1, 2).tolist()]
+    return kept, gone, int(covered.sum())
