@@ -171,6 +171,23 @@ def test_disposal_transparency_and_palettes():
     assert shown[3][1, 0].tolist() == colour(1) and shown[3][1, 3].tolist() == colour(0)  # frame 3 was undone
 
 
+def test_histograms_count_what_is_shown(spark):
+    """Red at 0, 64, 128 and 192; a see-through frame over another, one over a cleared area, one partly off the canvas."""
+    palette = bytes(x for k in range(4) for x in (64 * k, 0, 0))
+    whole = (0, 0, 4, 2, [1] * 8)
+    data = [
+        animation([(*whole, 1, None, 0), (1, 0, 2, 1, [2, 3], 1, 3, 0)], palette=palette),
+        animation([(*whole, 2, None, 0), (1, 0, 2, 1, [2, 3], 1, 3, 0)], palette=palette),
+        animation([(*whole, 1, None, 0), (3, 0, 2, 1, [2, 3], 1, None, 0)], palette=palette),
+    ]
+    media = spark.createDataFrame([(k, 0, bytearray(d)) for k, d in enumerate(data)], "doc_id long, n_bytes long, media binary")
+    red = [[0, 0, 9, 0, 1, 0, 0, 0], [0, 0, 8, 0, 1, 0, 0, 0], [0, 0, 8, 0, 1, 0, 0, 0]]
+    rows = {r.doc_id: r for r in gif_media.media_columns(media).collect()}
+    assert [rows[k].histogram[:8] for k in range(3)] == red
+    assert [bytes(rows[k].payload) for k in range(3)] == [bytes([1] * 8 + [2, 3])] * 3  # the samples as stored
+    assert [r.feature.split(":")[:8] for r in gif_media.digests(media).orderBy("doc_id").collect()] == [[str(x) for x in h] for h in red]
+
+
 def test_interlaced_rows():
     data = animation([(0, 0, 1, 10, [0, 0, 1, 2, 2, 1, 3, 3, 3, 3], 0, None, 0x40)], 1, 10)
     assert gif.decode(data).frames[0].indices[:, 0].tolist() == [0, 1, 2, 3, 1, 3, 2, 3, 0, 3]

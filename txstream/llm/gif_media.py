@@ -38,13 +38,27 @@ def _write(text: bytes) -> bytes:
     return gif.encode(np.frombuffer(padded(text), dtype=np.uint8), UNIT, delay=DELAY)
 
 
-def _colours(frames: list[gif.Frame]) -> np.ndarray:
-    """BINS counts each of red, green and blue over all samples of all frames."""
+def _colours(found: gif.Gif) -> np.ndarray:
+    """BINS counts each of red, green and blue over the areas of all frames, as they are shown.
+
+    Where a frame is transparent, what disposal left beneath it is counted, and nothing where that is empty too; what
+    lies outside the canvas isn't shown. Opaque frames inside the canvas show their own samples: these are counted by
+    index, without a canvas.
+    """
     out = np.zeros(3 * BINS, dtype=np.int64)
-    for f in frames:
-        counts = np.bincount(f.indices.reshape(-1), minlength=256)[: len(f.palette)]
+
+    def add(palette: np.ndarray, counts: np.ndarray) -> None:
         for c in range(3):
-            np.add.at(out[c * BINS : (c + 1) * BINS], f.palette[:, c] * BINS // 256 if f.palette.dtype != np.uint8 else f.palette[:, c] // (256 // BINS), counts)
+            np.add.at(out[c * BINS : (c + 1) * BINS], palette[:, c] // (256 // BINS), counts)
+
+    if all(f.transparent is None and f.left + f.width <= found.width and f.top + f.height <= found.height for f in found.frames):
+        for f in found.frames:
+            add(f.palette, np.bincount(f.indices.reshape(-1), minlength=256)[: len(f.palette)])
+    else:
+        for f, canvas in zip(found.frames, gif.shown(found)):
+            area = canvas[f.top : f.top + f.height, f.left : f.left + f.width].reshape(-1, 4)
+            seen = area[area[:, 3] > 0]
+            add(seen, np.ones(len(seen), dtype=np.int64))
     return out
 
 
@@ -55,7 +69,7 @@ def _read(media: bytes) -> tuple[bytes, list[tuple[int, int, int, int]], np.ndar
     for f in found.frames:
         times.append((now, now + f.delay, f.width, f.height))
         now += f.delay
-    return b"".join([f.indices.tobytes() for f in found.frames]), times, _colours(found.frames)
+    return b"".join([f.indices.tobytes() for f in found.frames]), times, _colours(found)
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
