@@ -69,6 +69,13 @@ def test_token_counts_by_hand(spark):
     assert {r.tokenizer for r in found} == {queries.EXACT}
 
 
+def test_token_counts_take_in_documents_without_tokens(spark, odd, tmp_path):
+    odd.write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = {(r.source, r.lang): r for r in queries.op7_token_counts(spark, f"file://{tmp_path}").collect()}
+    assert {k: r.docs for k, r in found.items()} == Counter((r.source, r.lang) for r in odd.collect())
+    assert found["s0", None].tokens == 0  # a group of an empty text alone
+
+
 def test_commits_count_once_and_survive_compaction(spark):
     store = token_counts.Rollups(spark, scratch(spark, "rollups"))
     assert store.totals().count() == 0
