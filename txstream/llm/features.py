@@ -1,11 +1,15 @@
 """Hashed sparse features of whole texts: word n-grams, with the words' shapes, and character n-grams.
 
 A word's code holds its hash and, in the low byte, its shape; so n-grams of hashes and of shapes come from one array.
-Shapes and the sign of an immediately repeated word make patterns visible that no single word tells of.
+Shapes and the sign of an immediately repeated word make patterns visible that no single word tells of. Character
+n-grams are runs of code points, white space included.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 from .common import M1, M2, M3, WordHash, mixed
@@ -43,34 +47,58 @@ def _counted(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return index, counts
 
 
-def word_ngrams(codes: np.ndarray) -> np.ndarray:
-    """Codes of words, pairs of words, shapes, pairs of shapes and repeated neighbours."""
+def word_ngrams(codes: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Codes of words, pairs of words, shapes, pairs of shapes and repeated neighbours.
+
+    ``before``: the code of the word before the first, where a text comes in pieces; none (an empty array) at its start.
+    """
     if not len(codes):
         return codes
     shapes = codes & _SHAPE
     out = [mixed(codes * M1), mixed(shapes * M3 + M2)]
-    if len(codes) > 1:
-        a, b = codes[:-1], codes[1:]
+    run = codes if before is None or not len(before) else np.concatenate([before, codes])
+    if len(run) > 1:
+        a, b = run[:-1], run[1:]
         same = (a ^ b) < np.uint64(256)  # the same word, whatever its shape
-        out += [mixed(mixed(a) * M2 + b), mixed((shapes[:-1] << np.uint64(9)) + (shapes[1:] << np.uint64(1)) + same + M1)]
+        out += [mixed(mixed(a) * M2 + b), mixed(((a & _SHAPE) << np.uint64(9)) + ((b & _SHAPE) << np.uint64(1)) + same + M1)]
         out.append(mixed(same.astype(np.uint64) * M2 + M3))
     return np.concatenate(out)
 
 
-def char_ngrams(text: bytes, size: int = 4) -> np.ndarray:
-    """Codes of the runs of ``size`` bytes of a text."""
-    raw = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-    n = len(raw) - size + 1
+def points(text: bytes) -> np.ndarray:
+    """The code points of a text in UTF-8."""
+    if text.isascii():
+        return np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def char_ngrams(found: np.ndarray, size: int = 4) -> np.ndarray:
+    """Codes of the runs of ``size`` characters, given as code points."""
+    n = len(found) - size + 1
     if n < 1:
-        return raw[:0]
+        return found[:0]
     code = np.zeros(n, dtype=np.uint64)
     for k in range(size):
-        code = (code << np.uint64(8)) | raw[k : k + n]
+        code = code * M3 + found[k : k + n]
     return mixed((code + M3) * M2)
 
 
-#: Longer texts are taken in pieces of so many bytes, whose counts are added up: memory stays bounded.
+#: Longer texts are taken in pieces of about so many bytes, whose counts are added up: memory stays bounded. A piece ends
+#: at white space, and what spans two pieces is counted with the second; so the pieces' size changes nothing.
 PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of ``PIECE`` bytes and what is left of the word there."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            space = _SPACE.search(text, end)
+            end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
 
 
 #: One cache for each Python process, as the functions of a module are shared by its tasks.
@@ -79,13 +107,16 @@ _words = ShapedWords()
 
 def vector(text: bytes | None, bits: int, chars: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature indices and their values: logarithms of counts, of length 1. An empty text has none."""
-    text = text or b""
     parts = []
-    for at in range(0, len(text), PIECE):
-        piece = text[at : at + PIECE]
-        codes = word_ngrams(_words.of(piece.split()))
+    last, tail = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # the word and the characters before a piece
+    for piece in pieces(text or b""):
+        found = _words.of(piece.split())
+        codes = word_ngrams(found, last)
+        last = found[-1:] if len(found) else last
         if chars:
-            codes = np.concatenate([codes, char_ngrams(piece, chars)])
+            run = np.concatenate([tail, points(piece)])
+            codes = np.concatenate([codes, char_ngrams(run, chars)])
+            tail = run[max(0, len(run) - chars + 1) :] if chars > 1 else run[:0]
         parts.append(_counted(codes, bits))
     if not parts:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)

@@ -4,8 +4,11 @@ Fitting takes a bounded sample of labelled rows (``SAMPLE`` ids at most, those o
 fold and passes over it ``PASSES`` times; the weights are one array of 2**BITS numbers, whatever the input. Scoring is
 one pass over whole texts without a shuffle.
 
-Defined cases: null and empty texts score by the bias alone; repeated rows are scored each; null ids are not held out
-and stay null; no labelled rows give the score 0.5 for all; other columns are ignored.
+Defined cases: null and empty texts score by the bias alone; very long texts are read whole, in pieces that change
+nothing; a score of 0.5 exactly predicts 1; an id with several labels counts once, with the larger one, and of several rows
+with one id the first by partition is learnt from; ids of equal md5 don't occur, as ids are distinct; repeated rows are
+scored each; null ids are not held out and stay null; no labelled rows give the score 0.5 for all; an empty table gives
+none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,9 +4,11 @@ The verdict of the model is its calibrated probability of a good text against th
 bounded sample of labelled rows (``SAMPLE`` ids of smallest md5): four fifths of it fit the regression by AdaGrad, the
 rest fits the two numbers of the calibration (Platt). Scoring is one pass over whole texts in Arrow batches, no shuffle.
 
-Defined cases: a null text has no words and fails the base rules, as an empty one does; repeated rows are judged each;
-null ids stay null; without labelled rows every probability is 1, so the base rules alone decide; other columns are
-ignored.
+Defined cases: a null text has no words and fails the base rules, as an empty one does; very long texts are read whole,
+in pieces that change nothing; a probability of the threshold exactly keeps; an id with several labels counts once, with
+the larger one; repeated rows are judged each; null ids stay null; without labelled rows every probability is 1, so the
+base rules alone decide; an empty table gives none; other columns are ignored, and columns in ``carry`` come back under
+names of their own, whatever theirs are.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text in UTF-8."""
     words = text.split()
     joined = b"".join(words)
-    chars = len(joined) if joined.isascii() else len(joined.decode("utf-8"))
+    chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace"))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return len(words), chars, len(text.translate(None, _NOT_SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
