@@ -1,5 +1,6 @@
 """Quality classifier, quality rules and language ID: held-out accuracy, folds, brute-force counts, odd inputs."""
 
+import hashlib
 import re
 import zlib
 
@@ -10,6 +11,9 @@ from txstream.llm import langid, quality_classifier, quality_rules, queries
 from txstream.llm.common import fold, table
 from txstream.llm.features import vector
 
+from . import plain
+from .conftest import SCHEMA
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -52,18 +56,134 @@ def test_ftrl_learns_a_rule_and_leaves_the_rest_at_zero():
     assert (learner.weights(np.arange(1000, 1024)) == 0).all()
 
 
-def test_vectors_do_not_depend_on_pieces(monkeypatch):
-    text = b"some words and &&& marks, " * 300
+LONG = ("Some wörds and &&& märks, 日本 語の THE THE ﬁn \u3000 end. " * 40 + "x" * 90 + "é" * 70 + "\n \t  ") * 3
+
+
+@pytest.mark.parametrize("size", [1, 2, 17, 64, 1_000, 1 << 20])
+@pytest.mark.parametrize("chars", [0, 1, 4])
+def test_vectors_do_not_depend_on_pieces(monkeypatch, size, chars):
     from txstream.llm import features
 
-    whole = vector(text, 18)
-    monkeypatch.setattr(features, "PIECE", len(b"some words and &&& marks, ") * 50)
-    parts = vector(text, 18)
-    both, a, b = np.intersect1d(whole[0], parts[0], return_indices=True)
-    assert len(both) >= 0.9 * len(whole[0]) and np.dot(whole[1][a], parts[1][b]) > 0.99
+    whole = vector(LONG.encode(), 18, chars)
+    monkeypatch.setattr(features, "PIECE", size)
+    parts = vector(LONG.encode(), 18, chars)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
     assert len(vector(None, 18)[0]) == len(vector(b"", 18, 4)[0]) == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 17, 64, 1_000])
+def test_word_likelihoods_do_not_depend_on_pieces(monkeypatch, size):
+    text = LONG + "ΑΣ ΑΣ'Β İstanbul"
+    r = np.random.default_rng(0)
+    model = langid.Model(["a", "b"], r.normal(size=(1 << 12, 2)).astype(np.float32), 50, 12)
+    whole = model.read(text)
+    monkeypatch.setattr(langid, "PIECE", size)
+    assert np.array_equal(whole[0], model.read(text)[0]) and whole[1] == model.read(text)[1]
+
+
+def test_texts_over_a_piece_are_read_whole():
+    """Several megabytes with multi-byte words: as plain Python counts them."""
+    text = LONG * 180
+    assert len(text) > 1 << 20
+    words = plain.words_of(text)
+    index, _ = langid.trigrams(text.lower(), 12)
+    assert len(langid.Model(["a"], np.zeros((1 << 12, 1), np.float32), 9, 12).words(text)) == len(words)
+    assert np.bincount(index, minlength=1 << 12).sum() == sum(map(len, words))
+    found = dict(zip(*map(np.ndarray.tolist, vector(text.encode(), 18, 4))))
+    wanted = plain.features(text, 18, 4)
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-6 for k in wanted)
+
+
+def test_scores_again_in_plain_python(spark):
+    """Features, learning and scores of the quality classifier, one number at a time."""
+    sf, bits = "/root/testdata/sf0.001", 14
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality_classifier.fit(docs, labels, ~fold("doc_id", 3, 1), limit=25, passes=2, bits=bits)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    usable = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    ids = sorted(usable, key=lambda k: hashlib.md5(str(k).encode()).hexdigest())[:25]
+    rows = [(usable[k], plain.features(texts[k], bits)) for k in ids]
+    draw = np.random.default_rng(0)
+    weights, bias = plain.ftrl(rows, [k for _ in range(2) for k in draw.permutation(len(rows)).tolist()])
+    assert abs(bias - model.bias) < 1e-4 and max(abs(model.weights[k] - w) for k, w in weights.items()) < 1e-4
+    for r in quality_classifier.score(docs, model).collect()[:60]:
+        wanted = plain.sigmoid(sum(weights.get(k, 0.0) * v for k, v in plain.features(texts[r.doc_id], bits).items()) + bias)
+        assert abs(r.score - wanted) < 1e-3
+
+
+def test_probabilities_again_in_plain_python(spark):
+    """The verdicts of the quality rules from words, characters and the model's numbers."""
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = quality_rules.fit(docs, table(spark, sf, "labels"), bits=16)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality_rules.judge(docs, model).collect()[:60]:
+        margin = sum(float(model.weights[k]) * v for k, v in plain.features(texts[r.doc_id], 16, quality_rules.CHARS).items()) + model.bias
+        p = plain.sigmoid(model.slope * margin + model.shift)
+        assert abs(r.probability - p) < 1e-4
+        if abs(p - 0.5) > 1e-3:
+            assert r.kept == (p >= 0.5 and not r.base_failed)
+
+
+def test_quality_rules_on_held_out_rows(spark):
+    docs, labels, held = table(spark, SF, "documents"), table(spark, SF, "labels"), fold("doc_id", 3, 1)
+    rows = quality_rules.judge(docs, quality_rules.fit(docs, labels, ~held)).collect()
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    judged = [(marks[r.doc_id], r.kept) for r in rows if r.doc_id in marks and not r.base_failed and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert np.mean([k == bool(y) for y, k in judged]) >= 0.93
+
+
+def test_languages_again_in_plain_python(spark):
+    """Word likelihoods, expectation-maximisation and the search over all sets of languages, one number at a time."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").where("n_chars < 4000")
+    model = langid.fit(docs, bits=12)
+    rows = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: len(x[1]))
+    for doc_id, text in texts[:20] + [(None, f"{texts[-1][1][:300]} {texts[-2][1][:200]} {texts[-9][1][:200]}")]:
+        words = [[float(sum(float(model.loglik[plain.bucket(t, 12), j]) for t in plain.trigram_names(w))) for j in range(len(model.languages))] for w in plain.words_of(text)]
+        if not words:
+            assert rows[doc_id].lang_pred == "und"
+            continue
+        _, chosen, share, _ = plain.best_set(words, len(model.languages))
+        wanted = {model.languages[c]: s for c, s in zip(chosen, share)}
+        if doc_id is None:
+            got = langid.infer(model.words(text))
+            found = {model.languages[c]: s for c, s in zip(got[0], got[1])}
+        else:
+            found = dict(zip(rows[doc_id].languages, rows[doc_id].proportions))
+            assert rows[doc_id].score == pytest.approx(max(found.values())) and found[rows[doc_id].lang_pred] == max(found.values())
+        assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 0.02 for k in wanted) and abs(sum(found.values()) - 1) < 1e-6
+
+
+def test_sets_of_languages_against_all_sets():
+    r = np.random.default_rng(0)
+    for _ in range(60):
+        n, k = int(r.integers(3, 30)), int(r.integers(2, 5))
+        words = r.normal(-10, float(r.choice([0.5, 1, 2])), (n, k))
+        words[np.arange(n), r.integers(0, min(k, 3), n)] += float(r.choice([0.5, 1, 2]))
+        worth, chosen, _, _ = plain.best_set(words.tolist(), k)
+        found, share, loglik = langid.infer(words)
+        assert sorted(found) == list(chosen) or loglik - np.log(n + 1) * (len(found) - 1) > worth - 1e-3
+        assert share.tolist() == sorted(share, reverse=True)
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(k, f"the words of text {k}", "en", "s", 0) for k in range(900)] + [(1_000 + k, "ünnep és szó", "hu", "s", 0) for k in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few = langid.sampled(docs, 20).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in few} == {"en": 20, "hu": 3}
+    assert langid.fit(docs, limit=20).languages == ["en", "hu"]
+
+
+def test_gain_tells_languages_from_random_letters(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    r = np.random.default_rng(0)
+    noise = [(k, " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)), None, "s", 0) for k in range(20)]
+    assert all(x.gain < 0 for x in langid.identify(spark.createDataFrame(noise, SCHEMA), model).collect())
+    assert langid.identify(docs, model).where("gain < 0").count() == 0
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, dup = set(), 0
@@ -126,8 +246,8 @@ def test_a_mixture_is_found(spark):
         by.setdefault(r.lang, r.text)
     a, b = sorted(by)[:2]
     words = model.words(by[a][:600] + " " + by[b][:300])
-    chosen, share = langid.infer(words)
-    assert [model.languages[c] for c in chosen] == [a, b] and 0.5 < share[chosen[0]] < 0.85
+    chosen, share, _ = langid.infer(words)
+    assert [model.languages[c] for c in chosen] == [a, b] and 0.5 < share[0] < 0.85
     assert len(langid.infer(model.words(by[a][:600]))[0]) == 1
     assert sorted(np.round(langid.mixture(words)[0], 2).tolist())[:-2] == [0.0] * (len(model.languages) - 2)
 
