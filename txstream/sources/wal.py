@@ -1,56 +1,45 @@
-"""A write-ahead log as an append-only Parquet table, partitioned by batch: replay, snapshot, compaction, recovery.
+"""A write-ahead log as batches of entries (``batches``): replay, snapshot, compaction, recovery.
 
 A batch is written once: committing it again changes nothing. Entries: vote, tid, ts, source, updates.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import shard_of
 from ..schemas import COMMIT, WAL
+from .batches import Batches
 
 
 class Log:
+    """Batches of entries, each logged once."""
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._path(".").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._batches = Batches(spark, path, WAL)
 
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def batches(self) -> list[str]:
-        """The names of committed batches."""
-        at = self._path("entries")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+    def has(self, batch: str | int) -> bool:
+        return self._batches.has(str(batch))
 
     def append(self, batch: str | int, entries: DataFrame) -> bool:
-        """Log a batch; False if it is in the log already. It is written aside and renamed, so it is there whole or not."""
-        if str(batch) in self.batches():
-            return False
-        aside = f"writing/{uuid.uuid4().hex}"
-        entries.select("vote", "tid", "ts", "source", "updates").write.parquet(f"{self.path}/{aside}")
-        self._fs.mkdirs(self._path("entries"))
-        return bool(self._fs.rename(self._path(aside), self._path(f"entries/{batch}")))
+        """Log a batch; False if it is in the log already."""
+        return self._batches.publish(str(batch), entries.select("vote", "tid", "ts", "source", "updates"))
 
     def entries(self) -> DataFrame:
-        paths = [f"{self.path}/entries/{b}" for b in self.batches()]
-        return self.spark.read.schema(WAL).parquet(*paths) if paths else self.spark.createDataFrame([], WAL)
+        return self._batches.rows()
 
     def replay(self, namespace: str | None = "*", source: int | None = None) -> DataFrame:
         """Committed entries in the order of ts: all, those of a source, or those with updates of a namespace (and only these)."""
         return replay(self.entries(), namespace, source)
 
-    def truncate(self, watermark: int, batch: str | int) -> None:
-        """Keep what is later than the watermark, as one batch."""
-        rest, old = self.entries().where(F.col("ts") > watermark), self.batches()
-        if self.append(batch, rest):
-            for b in old:
-                self._fs.delete(self._path(f"entries/{b}"), True)
+    def truncate(self, watermark: int, *batch: str | int) -> bool:
+        """Keep what is later than the watermark, in one step: a crash leaves the log as it was or as it shall be.
+
+        Batches that were logged count as logged still, and ``batch`` does from now on.
+        """
+        return self._batches.fold(lambda rows: rows.where(F.col("ts") > watermark), *map(str, batch))
 
 
 def replay(entries: DataFrame, namespace: str | None = "*", source: int | None = None) -> DataFrame:
