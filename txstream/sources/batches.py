@@ -71,13 +71,14 @@ class Batches:
         names, base = self.listed()
         return self._folded(base).union(self.spark.createDataFrame([(n,) for n in names], _NAMES))
 
-    def publish(self, name: str, rows: DataFrame) -> bool:
+    def publish(self, name: str, rows: DataFrame | Callable[[], DataFrame]) -> bool:
         """Add a batch; False, with nothing done, if one of that name counts already."""
         if not re.fullmatch(r"[\w.-]+", name):
             raise ValueError("a batch is named by letters, digits, dots and dashes")
         if self.has(name):
             return False
         aside = f"writing/{uuid.uuid4().hex}"
+        rows = rows() if callable(rows) else rows
         rows.write.parquet(f"{self.path}/{aside}")
         return self._published(aside, f"open/{name}")
 
