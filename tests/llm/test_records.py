@@ -54,6 +54,24 @@ def test_mixing_odd_rows(spark, odd, empty, clashing):
     assert mixing.mix(clashing, details=False).columns == clashing.columns
 
 
+def test_mixing_keeps_columns_of_the_names_it_adds(spark, odd):
+    names = ["mix_rate", "MIX_COPIES", "mix_replica", "mix_key", "mix_key_", "__mix_rate", "__mix_copies", "__mix_source", "__mix_key", "__mix_salt", "salt_of"]
+    clash = odd.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    found = mixing.mix(clash)
+    assert found.columns == [*clash.columns, "mix_rate_", "mix_copies_", "mix_replica_", "mix_key__"]
+    path = scratch(spark, "mix-test")
+    found.write.parquet(path)
+    back = spark.read.parquet(path)
+    plain = {(r.doc_id, r.mix_replica, r.mix_key) for r in mixing.mix(odd).collect()}
+    assert {(r.doc_id, r.mix_replica_, r.mix_key__) for r in back.collect()} == plain and back.where("mix_rate != 0").count() == 0
+
+
+def test_many_sources_are_mixed_alike(monkeypatch, odd):
+    few = sorted(map(repr, mixing.mix(odd).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert sorted(map(repr, mixing.mix(odd).collect())) == few
+
+
 # ---------------------------------------------------------------- token counts
 def test_token_counts_by_hand(spark):
     wanted = {}
@@ -90,11 +108,34 @@ def test_commits_count_once_and_survive_compaction(spark):
     store.commit("b-3", token_counts.deletes(rows.where("n = 5").limit(1), "v1", "n"))
     store.compact()
     assert totals() == {("a", "en", "v1"): (1, 5), ("a", None, "v2"): (1, 8), (None, "en", "v1"): (1, 0)}
-    assert store.committed() == ["b-1", "b-2", "b-3"]
+    assert sorted(r.name for r in store.committed().collect()) == ["b-1", "b-2", "b-3"] and store.has("b-1")
     with pytest.raises(ValueError):
         store.commit("../x", rows)
 
 
+def test_a_commit_while_compacting_counts_once(spark, monkeypatch):
+    store = token_counts.Rollups(spark, scratch(spark, "rollups"))
+    one = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n int")
+    store.commit("b-1", token_counts.inserts(one, "v", "n"))
+    summed = token_counts.summed
+    with monkeypatch.context() as m:
+        def slow(rows):
+            m.setattr(token_counts, "summed", summed)
+            assert store.commit("b-2", token_counts.inserts(one, "v", "n"))
+            return summed(rows)
+
+        m.setattr(token_counts, "summed", slow)
+        assert store.compact()
+    for _ in range(2):
+        assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(2, 10)]
+        store.compact()
+
+
+def test_token_counts_of_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert queries.op7_token_counts(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_token_counts_odd_rows(odd, empty, clashing):
     assert token_counts.counted(empty).count() == 0 and token_counts.counted(clashing).count() == 15
     assert token_counts.summed(token_counts.inserts(token_counts.counted(odd), "v", "tokens")).agg(F.sum("docs")).first()[0] == 15

@@ -1,47 +1,17 @@
-"""What the operators of this subpackage share: the cluster's shared folder, bounded label samples, words and hashes.
+"""What the operators of this subpackage share: tables in the cluster's shared folder, bounded label samples, words and hashes.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]+``; on UTF-8 bytes that is exactly ``bytes.split()``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-# ---------------------------------------------------------------- shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests in local mode) a temporary folder is made and set; on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="txstream-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; under ``spark.checkpoint.dir``, so the cluster's own clean-up covers it."""
-    return f"{shared_dir(spark)}/txstream/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    schema = df.schema
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from ..sources.shared import released, removed, scratch, shared_dir, stored  # noqa: F401
 
 
 # ---------------------------------------------------------------- tables
@@ -69,6 +39,14 @@ def smallest_hashes(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(n)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it until no column has it (whatever the case of its letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- words and hashes
 #: A word cache stops taking new words here (some 60 MB); words beyond it are hashed each time.
 CACHE_WORDS = 300_000

@@ -10,8 +10,10 @@ large sources are thinned and small ones repeated. Rates above ``STEP`` are take
 of at most ``STEP`` each, which keeps exp(-r) and the table of the inverse exact.
 
 Defined cases: a null source is a source of its own; a null or empty text has size 0; a source of size 0 has the rate 1;
-a source without a given weight has the rate 0; rows that share an id get the same copies; null ids count as the text
-'null'; an empty table gives none; columns with clashing names are kept, as all columns of the table are.
+a source without a given weight has the rate 0; very long texts count with their whole length; rows that share an id get
+the same copies, and copies with equal keys stand in any order; null ids count as the text 'null'; an empty table gives
+none; all columns of the table are kept under their names, and a column that is added gets underscores behind its own
+where the table has one of that name.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 TEMPER = 0.5
 SEED = 17
 STEP = 8.0
 #: Terms of the inverse at a rate of STEP or less: the tail beyond is under 1e-13, below the hash's own grain of 2**-48.
 TERMS = 48
-#: Sources up to so many are broadcast (some 450 bytes each, so 25 MB at most); more are joined by shuffle.
-FEW_SOURCES = 50_000
+#: Sources up to so many are broadcast (some 450 bytes each, so 25 MB at most); more are joined by shuffle, each in SALTS
+#: parts, so that a large source isn't one task.
+FEW_SOURCES, SALTS = 50_000, 64
 _RATE, _SOURCE, _DRAWS, _TABLE = "__mix_rate", "__mix_source", "__mix_draws", "__mix_table"
-_COPIES, _REPLICA, _KEY = "__mix_copies", "__mix_replica", "__mix_key"
+_COPIES, _REPLICA, _KEY, _SALT = "__mix_copies", "__mix_replica", "__mix_key", "__mix_salt"
 
 
 def unit(seed: int, *parts: Column) -> Column:
@@ -76,14 +79,19 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, tempe
 
 
 def counted(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, temper: float = TEMPER) -> DataFrame:
-    """All rows of docs with ``__mix_rate`` and ``__mix_copies``."""
-    draws = F.greatest(F.lit(1), F.ceil(F.col(_RATE) / STEP).cast("int"))
-    table = rates(docs, weights, temper).withColumn(_DRAWS, draws)
+    """All rows of docs with ``__mix_rate`` and ``__mix_copies`` (or these names with underscores behind them)."""
+    source, salt, draws, inverse, rate, copied = (free_name(n, docs.columns) for n in (_SOURCE, _SALT, _DRAWS, _TABLE, _RATE, _COPIES))
+    table = rates(docs, weights, temper).withColumn(_DRAWS, F.greatest(F.lit(1), F.ceil(F.col(_RATE) / STEP).cast("int")))
     table = table.withColumn(_TABLE, cumulated(F.col(_RATE) / F.col(_DRAWS)))
-    if table.select(_SOURCE).limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
-        table = F.broadcast(table)
-    joined = docs.join(table, docs["source"].eqNullSafe(table[_SOURCE]))
-    return joined.withColumn(_COPIES, copies(F.col("doc_id"), F.col(_DRAWS), F.col(_TABLE), seed)).drop(_SOURCE, _DRAWS, _TABLE)
+    table = table.select(F.col(_SOURCE).alias(source), F.col(_RATE).alias(rate), F.col(_DRAWS).alias(draws), F.col(_TABLE).alias(inverse))
+    same = docs["source"].eqNullSafe(table[source])
+    if table.select(source).limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        joined = docs.join(F.broadcast(table), same)
+    else:
+        spread = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
+        many = table.withColumn("salt_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = spread.join(many, spread["source"].eqNullSafe(many[source]) & (spread[salt] == many["salt_of"])).drop(spread[salt], many["salt_of"])
+    return joined.withColumn(copied, copies(F.col("doc_id"), F.col(draws), F.col(inverse), seed)).drop(source, draws, inverse)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, temper: float = TEMPER, details: bool = True) -> DataFrame:
@@ -92,14 +100,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
     A hash of the hashed key deals each copy into a partition and the key orders it there: one shuffle, no sampling pass.
     """
     made = counted(docs, weights, seed, temper)
+    rate, copied, replica, key = (free_name(n, docs.columns) for n in (_RATE, _COPIES, _REPLICA, _KEY))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} order"), name, F.col(_REPLICA).cast("string")).cast("binary")), 1, 16)
-    many = F.when(F.col(_COPIES) > 0, F.sequence(F.lit(1), F.col(_COPIES))).otherwise(F.array().cast("array<int>"))
-    spread = made.withColumn(_REPLICA, F.explode(many)).withColumn(_KEY, key)
-    spread = spread.repartition(_KEY).sortWithinPartitions(_KEY, _REPLICA)
+    order = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} order"), name, F.col(replica).cast("string")).cast("binary")), 1, 16)
+    many = F.when(F.col(copied) > 0, F.sequence(F.lit(1), F.col(copied))).otherwise(F.array().cast("array<int>"))
+    spread = made.withColumn(replica, F.explode(many)).withColumn(key, order)
+    spread = spread.repartition(key).sortWithinPartitions(key, replica)
     if not details:
         return spread.select(docs.columns)
-    return spread.select(*docs.columns, F.col(_RATE).alias("mix_rate"), F.col(_COPIES).alias("mix_copies"), F.col(_REPLICA).alias("mix_replica"), F.col(_KEY).alias("mix_key"))
+    shown = [F.col(have).alias(free_name(wanted, docs.columns)) for have, wanted in zip((rate, copied, replica, key), ("mix_rate", "mix_copies", "mix_replica", "mix_key"))]
+    return spread.select(*docs.columns, *shown)
 
 
 #: The same rows in DuckDB: production parameters.
