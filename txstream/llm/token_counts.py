@@ -3,20 +3,19 @@
 A batch of changes (inserts, deletes, revised counts) becomes signed sums: an insert adds, a delete subtracts, a revision
 subtracts the old count under the old version and adds the new. The sums of a batch are one commit: they are written
 aside and renamed to the batch's folder, so a batch counts once, however often it is committed, and a failed attempt
-leaves nothing that counts. Totals are the sums over commits; compaction folds commits into one base in the same way.
+leaves nothing that counts. Totals are the sums over commits; compaction folds commits into one base in the same way, and
+what is committed meanwhile counts beside it.
 
 Sums are partial before their shuffle, so a source with a third of all rows is no large group. Where the text itself
 must be counted, that is one pass in Arrow batches.
 
-Defined cases: null sources and languages are groups of their own; a null text has 0 tokens; null counts are 0; repeated
-rows count each; groups whose sums are all 0 are left out of totals; a batch without rows is a commit without rows; no
+Defined cases: null sources and languages are groups of their own; a null text has 0 tokens; null counts are 0; very
+long texts are counted whole; sums have no order, so there are no ties; repeated rows count each; groups whose sums are all 0 are left out of totals; a batch without rows is a commit without rows; no
 commits give no totals; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import Batches
 from . import tokens
 from .common import texts
 
 KEYS = ("source", "lang", "tokenizer")
+#: Files of a commit: its rows are one for each source, language and version.
+FILES = 8
 _SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -72,68 +74,26 @@ def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class Rollups:
-    """The rollup table in the folder ``path``: ``commits/<batch>``, ``bases/<number>`` and what is being written."""
+    """The rollup table in the folder ``path``: a commit is a batch of sums (``sources.batches``)."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _names(self, folder: str) -> list[str]:
-        at = self._at(folder)
-        found = self._fs.listStatus(at) if self._fs.exists(at) else []
-        return sorted(s.getPath().getName() for s in found if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-
-    def _publish(self, rows: DataFrame, target: str) -> bool:
-        aside = f"writing/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{aside}")
-        self._fs.mkdirs(self._at(target).getParent())
-        done = not self._fs.exists(self._at(target)) and self._fs.rename(self._at(aside), self._at(target))
-        if not done:  # another attempt was first; a rename onto a folder can land inside it
-            self._fs.delete(self._at(f"{target}/{aside.rpartition('/')[2]}"), True)
-            self._fs.delete(self._at(aside), True)
-        return done
-
-    def committed(self) -> list[str]:
-        return sorted({*self._names("commits"), *self._folded()[1]})
-
-    def _folded(self) -> tuple[str | None, list[str]]:
-        """The newest base and the batches folded into it."""
-        bases = self._names("bases")
-        if not bases:
-            return None, []
-        rows = self.spark.read.text(f"{self.path}/bases/{bases[-1]}/batches").collect()  # a name for each folded batch
-        return bases[-1], [r.value for r in rows]
+        self._batches = Batches(spark, path, _SUMS)
+
+    def has(self, batch: str) -> bool:
+        return self._batches.has(batch)
+
+    def committed(self) -> DataFrame:
+        """name of every committed batch."""
+        return self._batches.names()
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of signed rows; False, with nothing done, if the batch has been committed before."""
-        if not re.fullmatch(r"[\w.-]+", batch):
-            raise ValueError("a batch is named by letters, digits, dots and dashes")
-        if batch in self.committed():
-            return False
-        return self._publish(summed(deltas).coalesce(8), f"commits/{batch}")
-
-    def _open(self) -> DataFrame:
-        base, folded = self._folded()
-        paths = [f"{self.path}/commits/{n}" for n in self._names("commits") if n not in set(folded)]
-        paths += [f"{self.path}/bases/{base}/sums"] if base else []
-        return self.spark.read.schema(_SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], _SUMS)
+        return self._batches.publish(batch, lambda: summed(deltas).coalesce(FILES))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all commits."""
-        return summed(self._open()).where("docs != 0 or tokens != 0")
-
-    def compact(self) -> None:
-        """Fold all commits so far into a new base; a base counts once its _SUCCESS stands."""
-        base, _ = self._folded()
-        names, number = self.committed(), f"{int(base or 0) + 1:08d}"
-        if not names:
-            return
-        summed(self._open()).coalesce(8).write.parquet(f"{self.path}/bases/{number}/sums")
-        self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{self.path}/bases/{number}/batches")
-        self._fs.create(self._at(f"bases/{number}/_SUCCESS")).close()
-        for n in names:
-            self._fs.delete(self._at(f"commits/{n}"), True)
+        return summed(self._batches.rows()).where("docs != 0 or tokens != 0")
+
+    def compact(self) -> bool:
+        """Fold all commits that one listing shows into a new base; False if another compaction was first."""
+        return self._batches.fold(lambda rows: summed(rows).coalesce(FILES))
