@@ -333,6 +333,67 @@ def test_archives_hold_whole_records(spark):
     assert found == Counter([(1, "response", None, n), (3, "revisit", 1, n), (None, "revisit", 1, n), (7, "response", None, 0), (8, "revisit", 7, 0), (9, "response", None, 5), (9, "response", None, 5), (None, "response", None, 5)])
 
 
+@pytest.mark.parametrize("tail", ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\r\n\r\n\r\n", "x\r\n\r\nWARC/1.1\r\n\r\n", "\n" * 9])
+def test_payloads_that_look_like_separators(spark, tail):
+    rows = [(k, f"http://h/{k}", f"{'y' * k}{tail}") for k in range(1, 8)] + [(9, "u", "\r\n" * 40_000 + tail)]
+    path = scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), path)
+    assert {(r.page_id, bytes(r.payload).decode()) for r in warc.read_archives(spark, path).collect()} == {(k, h) for k, _, h in rows}
+
+
+def test_broken_archives(spark):
+    record = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+    assert [c for _, c in warc.parsed(iter([record[:20], record[20:], record]))] == [b"abc"] * 2
+    for bad in (record[:-5], b"HTTP/1.1\r\n\r\n", record.replace(b"3", b"2"), record.replace(b"3", b"300")):
+        with pytest.raises(ValueError):
+            list(warc.parsed(iter([bad])))
+
+
+def test_plain_archives_are_read(spark, tmp_path):
+    import gzip
+
+    path = scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], PAGES).coalesce(1), path)
+    file = next(x for x in __import__("pathlib").Path(path.removeprefix("file:")).iterdir() if x.name.endswith(".gz"))
+    (tmp_path / "a.warc").write_bytes(gzip.decompress(file.read_bytes()))
+    assert {bytes(r.payload) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()} == {b"one", b"two"}
+
+
+def test_a_table_of_revisits(spark):
+    """A payload that a third of the pages has, others in small groups, and many that are unique; no payload moves."""
+    rows = [(k, f"http://h/{k}", "<p>the same" if k % 3 == 0 else f"<p>group {k % 40}" if k % 3 == 1 else f"<p>own {k}") for k in range(600)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(7)
+    firsts = {}
+    for k, _, html in rows:
+        firsts.setdefault(html, k)
+    found = warc.round_trip(pages).collect()
+    assert {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found} == {(k, len(h), *(("response", None) if firsts[h] == k else ("revisit", firsts[h]))) for k, _, h in rows}
+    assert len(found) == 600
+
+
+def test_payloads_are_not_shuffled(spark):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k // 2}") for k in range(50)], PAGES)
+    before = spark.conf.get(warc._BY_SPLIT)
+    for threshold in ("-1", "10m"):  # with and without broadcasts
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set(warc._BY_SPLIT, "false")
+        try:
+            with warc.staged(pages) as rows:
+                found = warc.stored(warc.revisits(rows), "revisits")
+                joined = rows.join(found.hint("shuffle_hash"), ["split", "row"], "left")
+                plan = joined._jdf.queryExecution().executedPlan().toString()
+                for part in plan.split("Exchange hashpartitioning")[1:]:
+                    assert "html" not in part
+                assert "Sort [" not in plan and plan.count("Exchange hashpartitioning") <= 1
+                assert "html" not in warc.revisits(rows)._jdf.queryExecution().executedPlan().toString()
+                assert joined.count() == 50
+                sizes = [r["count"] for r in rows.groupBy("split").count().collect()]
+                assert len(sizes) == min(pages.rdd.getNumPartitions(), 4)
+        finally:
+            spark.conf.set(warc._BY_SPLIT, before)
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_small_payloads_are_never_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], PAGES)
     assert {r.page_id: r.record_type for r in warc.round_trip(pages, least_bytes=3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
