@@ -193,10 +193,74 @@ def test_streams_of_other_encoders(n, least):
 @pytest.mark.parametrize("rows", [1, 3, 256, 257, 1000])
 def test_frames_round_trip(rows):
     samples = np.random.default_rng(rows).integers(0, 256, 192 * rows).astype(np.uint8)
-    found = gif.decode(gif.encode(samples))
-    assert b"".join(f.indices.tobytes() for f in found.frames) == samples.tobytes()
-    assert (gif.lzw_general(gif.literal_codes(samples), 8) == samples).all()
-    assert all(f.delay == 10 and f.disposal == 1 for f in found.frames) and len(list(gif.shown(found))) == len(found.frames)
+    for values in (samples, samples % 60, samples * 0 + 32):
+        found = gif.decode(gif.encode(values))
+        assert b"".join(a.tobytes() for a, _ in gif.samples(found)) == values.tobytes()
+        shown = list(gif.shown(found))
+        assert b"".join(c[: f.height, :, 0].tobytes() for f, c in zip(found.frames, shown)) == values.tobytes()
+        assert all(f.delay == 10 and f.disposal == 1 for f in found.frames)
+        seen_through = [f.transparent is not None for f in found.frames]
+        assert not seen_through[0] and (all(seen_through[1:]) or values is samples)
+        first = values[: 192 * 256].tobytes()
+        assert lzw_decoded(gif.lzw_stream(first), 8) == first == gif.lzw(gif.lzw_stream(first), 8).tobytes()
+
+
+def lzw_decoded(data, least):
+    """A plain decoder: bit by bit, code by code."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, at, width, table_, last, out = 1 << least, 0, least + 1, [], b"", b""
+    while True:
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table_, width, last = [bytes([k]) for k in range(clear)] + [b"", b""], least + 1, b""
+            continue
+        if code == clear + 1:
+            return out
+        entry = table_[code] if code < len(table_) else last + last[:1]
+        out += entry
+        if last and len(table_) < 4096:
+            table_.append(last + entry[:1])
+        if len(table_) == 1 << width and width < 12:
+            width += 1
+        last = entry
+
+
+def test_the_writers_codes_name_strings():
+    """Text is written with codes for strings, and the table is cleared when it is full."""
+    text = " ".join(f"word{k % 700} and" for k in range(9_000)).encode()
+    codes = gif.lzw_codes(text)
+    assert sum(c > 257 for c in codes) > 0.8 * len(codes) and codes.count(256) > 1 and max(codes) > 3_500
+    assert gif.lzw(gif.lzw_stream(text), 8).tobytes() == text and len(gif.lzw_stream(text)) < 0.5 * len(text)
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 3_839, 3_840, 3_841, 9_999])
+def test_streams_without_a_repetition(n):
+    """A run of literals fills the table entry by entry: every width and clear code at its place."""
+    values = bytes((k * 7 + k // 256 * 31) % 256 for k in range(n))
+    assert lzw_decoded(gif.lzw_stream(values), 8) == values == gif.lzw(gif.lzw_stream(values), 8).tobytes()
+
+
+def test_a_full_table_may_stay():
+    """Streams of encoders that go on with a full table."""
+    r = random.Random(3)
+    values = bytes(r.randrange(256) for _ in range(30_000))
+    table_, width, bits, now, new = {bytes([k]): k for k in range(256)}, 9, "", b"", 258
+    bits += f"{256:09b}"[::-1]
+    for k in range(len(values)):
+        one = values[k : k + 1]
+        if now + one in table_:
+            now += one
+            continue
+        bits += f"{table_[now]:0{width}b}"[::-1]
+        if new < 4096:
+            table_[now + one] = new
+            width += new == 1 << width and width < 12
+            new += 1
+        now = one
+    bits += f"{table_[now]:0{width}b}"[::-1] + f"{257:0{width}b}"[::-1]
+    data = bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+    assert gif.lzw(data, 8).tobytes() == values
 
 
 def animation(frames, width=4, height=2, palette=bytes(range(12))):
@@ -232,7 +296,9 @@ def test_histograms_count_what_is_shown(spark):
     red = [[0, 0, 9, 0, 1, 0, 0, 0], [0, 0, 8, 0, 1, 0, 0, 0], [0, 0, 8, 0, 1, 0, 0, 0]]
     rows = {r.doc_id: r for r in gif_media.media_columns(media).collect()}
     assert [rows[k].histogram[:8] for k in range(3)] == red
-    assert [bytes(rows[k].payload) for k in range(3)] == [bytes([1] * 8 + [2, 3])] * 3  # the samples as stored
+    # the samples as shown: what is see-through shows the frame before, unless that was cleared
+    assert [bytes(rows[k].payload) for k in range(3)] == [bytes([1] * 8 + last) for last in ([2, 1], [2, 3], [2, 3])]
+    assert [(f.starts_cs, f.ends_cs, f.left, f.width, sum(f.histogram[:8])) for f in rows[2].frames] == [(0, 5, 0, 4, 8), (5, 10, 3, 2, 1)]
     assert [r.feature.split(":")[:8] for r in gif_media.digests(media).orderBy("doc_id").collect()] == [[str(x) for x in h] for h in red]
 
 

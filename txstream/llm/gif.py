@@ -1,19 +1,22 @@
 """GIF89a: write 8-bit samples as timed frames, and decode any GIF: LZW code streams, palettes, disposal, transparency.
 
-The writer's code streams are plain LZW without back references: a clear code before every ``RUN`` literals keeps the
-code width at nine bits, so writing and reading are array operations. The decoder follows the format in general: it
-reads streams with growing widths and table references too (``lzw`` falls back to ``lzw_general`` for them).
+The writer's code streams are LZW with a table that grows to 4096 entries and is cleared when it is full. A frame after
+the first leaves out what the canvas shows already: such samples are transparent, under an index that the frame doesn't
+use otherwise, and the frames before stay (disposal 1). The decoder follows the format in general. Codes are put into
+bits, and taken out of them, as arrays: their widths depend on their place behind the last clear code alone.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Literals between clear codes: the table then holds fewer than 512 entries and codes stay nine bits wide.
-RUN = 248
+#: Entries of a full table.
+MOST = 4096
 WIDTH, ROWS = 192, 256
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 _HEADER = struct.Struct("<6sHHBBB")
@@ -41,34 +44,74 @@ class Gif:
     frames: list[Frame] = field(default_factory=list)
 
 
+# ---------------------------------------------------------------- codes and bits
+@functools.cache
+def widths(least: int, n: int) -> np.ndarray:
+    """Bits of the first ``n`` codes behind a clear code: each one after the first adds an entry, up to ``MOST``."""
+    entries = (1 << least) + 2 + np.maximum(np.arange(n) - 1, 0)
+    return np.clip(np.ceil(np.log2(entries + 1)).astype(np.int64), least + 1, 12)
+
+
+def _packed(codes: np.ndarray, bits: np.ndarray) -> bytes:
+    """Codes of so many bits each, lowest bit first."""
+    ends = np.cumsum(bits)
+    at = ends - bits
+    value = codes.astype(np.int64) << (at & 7)  # 19 bits at most: three bytes
+    first = at >> 3
+    where = np.concatenate([first, first + 1, first + 2])
+    parts = np.concatenate([value & 255, (value >> 8) & 255, value >> 16])
+    return np.bincount(where, weights=parts, minlength=0)[: (int(ends[-1]) + 7) // 8].astype(np.uint8).tobytes()
+
+
+def _unpacked(raw: np.ndarray, at: int, least: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``n`` codes from the bit ``at`` on, behind a clear code, and where each ends. ``raw`` has three bytes to spare."""
+    bits = widths(least, n)
+    ends = at + np.cumsum(bits)
+    bits = bits[: int(np.searchsorted(ends, 8 * (len(raw) - 3), "right"))]
+    ends = ends[: len(bits)]
+    start = ends - bits
+    first = start >> 3
+    value = raw[first].astype(np.int64) | raw[first + 1].astype(np.int64) << 8 | raw[first + 2].astype(np.int64) << 16
+    return (value >> (start & 7)) & ((1 << bits) - 1), ends
+
+
 # ---------------------------------------------------------------- writing
-def _nine_bits(codes: np.ndarray) -> bytes:
-    """Pack nine-bit codes, lowest bit first: eight codes fill nine bytes."""
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, dtype=np.uint16)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), dtype=np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = (c[:, k - 1] >> (9 - k)) | ((c[:, k] << k) & 255)
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: (9 * n + 7) // 8]
-
-
-def literal_codes(samples: np.ndarray) -> bytes:
-    """An LZW code stream of 8-bit samples: clear, up to RUN literals, clear, ..., end."""
-    n = len(samples)
-    runs = -(-n // RUN)
-    grid = np.full((runs, RUN + 1), 256, dtype=np.uint16)
-    full = n // RUN
-    grid[:full, 1:] = samples[: full * RUN].reshape(full, RUN)
-    codes = grid.reshape(-1)
-    if full < runs:
-        rest = n - full * RUN
-        grid[full, 1 : 1 + rest] = samples[full * RUN :]
-        codes = codes[: full * (RUN + 1) + 1 + rest]
-    return _nine_bits(np.append(codes, np.uint16(257)))
+def lzw_codes(samples: bytes) -> list[int]:
+    """The codes of 8-bit samples (one or more): clear, the longest strings that the table knows, clear, ..., end."""
+    clear, free = 256, 258
+    table: dict[int, int] = {}
+    known, out = table.get, [clear]
+    put = out.append
+    rest = iter(samples)
+    now = next(rest)
+    for sample in rest:
+        code = known(now << 8 | sample)
+        if code is not None:
+            now = code
+            continue
+        put(now)
+        if free < MOST:
+            table[now << 8 | sample] = free
+            free += 1
+        else:
+            put(clear)
+            table.clear()
+            free = 258
+        now = sample
+    put(now)
+    put(clear + 1)
+    return out
+
+
+#: Codes from one clear code of the writer to the next: those that fill the table, one more, and the clear code.
+CYCLE = MOST - 258 + 2
+
+
+def lzw_stream(samples: bytes) -> bytes:
+    codes = np.array(lzw_codes(samples))
+    bits = widths(8, CYCLE)[(np.arange(len(codes)) - 1) % CYCLE]
+    bits[0] = 9
+    return _packed(codes, bits)
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -86,11 +129,17 @@ def encode(samples: np.ndarray, width: int = WIDTH, rows: int = ROWS, delay: int
     size = width * rows
     height = min(rows, len(samples) // width)
     out = [_HEADER.pack(b"GIF89a", width, height, 0xF7, 0, 0), GREY]
+    canvas = np.zeros(0, dtype=np.uint8)
     for at in range(0, len(samples), size):
-        part = samples[at : at + size]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\0")
+        part = shown_ = samples[at : at + size]
+        free = np.flatnonzero(np.bincount(part, minlength=256) == 0)
+        clear = int(free[0]) if len(canvas) and len(free) else None
+        if clear is not None:
+            part = np.where(part == canvas[: len(part)], np.uint8(clear), part)
+        canvas = np.concatenate([shown_, canvas[len(shown_) :]])
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2 | (clear is not None), delay, clear or 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08")
-        out.append(sub_blocks(literal_codes(part)))
+        out.append(sub_blocks(lzw_stream(part.tobytes())))
     return b"".join([*out, b"\x3b"])
 
 
@@ -115,56 +164,50 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+def _strings(codes: list[int], least: int) -> list[bytes]:
+    """What the codes between two clear codes stand for."""
+    clear = 1 << least
+    table = [bytes([k]) for k in range(clear)] + [b"", b""]
+    last = table[codes[0]] if codes[0] < clear else b""
+    if not last:
+        raise ValueError("a run of the LZW stream begins with a code that isn't in its table")
+    out, put, add, grows = [last], None, table.append, MOST - len(table) + 1
+    put = out.append
+    try:
+        for code in codes[1:grows]:
+            try:
+                now = table[code]
+            except IndexError:
+                if code > len(table):
+                    raise
+                now = last + last[:1]  # the string that this very code is about to name
+            put(now)
+            add(last + now[:1])
+            last = now
+        for code in codes[grows:]:  # a full table stays until the next clear code
+            put(table[code])
+    except IndexError:
+        raise ValueError("the LZW stream names a code that isn't in its table") from None
+    return out
+
+
 def lzw(data: bytes, least: int) -> np.ndarray:
-    """The indices of a code stream with ``least`` bits a sample."""
-    if least == 8:  # as long as no run between clear codes makes the table grow to 512, all codes have nine bits
-        n = len(data) * 8 // 9
-        b = np.zeros(-(-n // 8) * 9 + 1, dtype=np.uint16)
-        b[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-        g = b[:-1].reshape(-1, 9)
-        codes = np.empty((len(g), 8), dtype=np.uint16)
-        for k in range(8):
-            codes[:, k] = ((g[:, k] >> k) | (g[:, k + 1] << (8 - k))) & 511
-        codes = codes.reshape(-1)[:n]
-        ends = np.flatnonzero(codes == 257)
-        if len(ends):
-            codes = codes[: ends[0]]
-            clears = np.flatnonzero(codes == 256)
-            gaps = np.diff(np.concatenate([[-1], clears, [len(codes)]]))
-            if gaps.max() <= 254 and codes.max(initial=0) <= 256:
-                return codes[codes != 256].astype(np.uint8)
-    return lzw_general(data, least)
-
-
-def lzw_general(data: bytes, least: int) -> np.ndarray:
-    """Any LZW stream of the format: widths grow to 12 bits, a full table stays until the next clear code."""
+    """The indices of a code stream with ``least`` bits a sample: any LZW stream of the format."""
     clear, end = 1 << least, (1 << least) + 1
-    first = [bytes([k]) for k in range(clear)] + [b"", b""]
-    table, width, last, out = list(first), least + 1, None, []
-    bits = held = 0
-    for byte in data:
-        bits |= byte << held
-        held += 8
-        while held >= width:
-            code, bits, held = bits & ((1 << width) - 1), bits >> width, held - width
-            if code == clear:
-                table, width, last = list(first), least + 1, None
-                continue
-            if code == end:
-                return np.frombuffer(b"".join(out), dtype=np.uint8)
-            if last is None:
-                entry = table[code]
-            else:
-                if code > len(table):
-                    raise ValueError("the LZW stream names a code that isn't in its table")
-                entry = table[code] if code < len(table) else last + last[:1]
-                if len(table) < 4096:
-                    table.append(last + entry[:1])
-                    if len(table) == 1 << width and width < 12:
-                        width += 1
-            out.append(entry)
-            last = entry
-    return np.frombuffer(b"".join(out), dtype=np.uint8)
+    raw = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(3, np.uint8)])
+    at, n, out = 0, MOST, []
+    while True:
+        codes, ends = _unpacked(raw, at, least, n)
+        marks = np.flatnonzero((codes == clear) | (codes == end))
+        if not len(marks) and len(codes) == n:  # a full table, kept on
+            n *= 4
+            continue
+        stop = int(marks[0]) if len(marks) else len(codes)
+        if stop:
+            out += _strings(codes[:stop].tolist(), least)
+        if not len(marks) or codes[stop] == end:
+            return np.frombuffer(b"".join(out), dtype=np.uint8)
+        at, n = int(ends[stop]), MOST
 
 
 def _rows_in_order(indices: np.ndarray) -> np.ndarray:
@@ -229,3 +272,32 @@ def shown(gif: Gif):
             canvas[area] = 0
         elif f.disposal == 3:
             canvas = before
+
+
+def samples(gif: Gif) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The indices of each frame's area as it is shown, and which of them are (None: all).
+
+    Where a frame is transparent, what the frames before have left there counts; where they left nothing, or outside the
+    canvas, the index stays as it is stored and isn't shown. Indices are of the palettes of the frames they come from.
+    """
+    if all(f.transparent is None and f.left + f.width <= gif.width and f.top + f.height <= gif.height for f in gif.frames):
+        for f in gif.frames:  # opaque frames inside the canvas show their own
+            yield f.indices, None
+        return
+    canvas, there = np.zeros((gif.height, gif.width), np.uint8), np.zeros((gif.height, gif.width), bool)
+    for f in gif.frames:
+        area = (slice(f.top, f.top + f.height), slice(f.left, f.left + f.width))
+        before = (canvas.copy(), there.copy()) if f.disposal == 3 else None
+        target, solid = canvas[area], there[area]
+        inside = (slice(0, target.shape[0]), slice(0, target.shape[1]))
+        own = f.indices[inside] != f.transparent if f.transparent is not None else np.ones(target.shape, bool)
+        target[own] = f.indices[inside][own]
+        solid[own] = True
+        out, seen = f.indices.copy(), np.zeros(f.indices.shape, bool)
+        out[inside] = np.where(solid, target, f.indices[inside])
+        seen[inside] = solid
+        yield out, seen
+        if f.disposal == 2:
+            there[area] = False
+        elif f.disposal == 3:
+            canvas, there = before

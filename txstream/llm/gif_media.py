@@ -1,10 +1,12 @@
-"""Media columns: texts as the samples of GIF animations, read back by decoding, with timed frames and colour histograms.
+"""Media columns: texts as the samples of GIF animations, stored, read back by decoding, with timed frames and colours.
 
-Every text becomes its UTF-8 bytes, padded with spaces to a positive multiple of 192, in frames 192 samples wide. One
-row in, one row out, no shuffle; memory is bounded by one batch of texts.
+Every text becomes its UTF-8 bytes, padded with spaces to a positive multiple of 192, in frames 192 samples wide. What is
+read back are the samples as the frames show them: LZW strings, palettes, disposal and transparency all have their part.
+One row in, one row out, no shuffle; memory is bounded by one batch of texts.
 
-Defined cases: a null text counts as empty (one row of spaces); equal texts give equal media; repeated rows are kept;
-null ids stay null; an empty table gives none; columns other than ``doc_id`` and ``text`` are ignored.
+Defined cases: a null text counts as empty (one row of spaces); a very long text is an animation of many frames; equal
+texts give equal media; there are no ties; repeated rows are kept; null ids stay null; an empty table gives none; columns
+other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ TAIL = 16
 BINS = 8
 DELAY = 10
 _MEDIA = "doc_id long, n_bytes long, media binary"
-_READ = "doc_id long, n_bytes long, payload binary, frames array<struct<starts_cs:long,ends_cs:long,width:int,height:int>>, histogram array<long>, media binary"
+_FRAME = "starts_cs:long,ends_cs:long,left:int,top:int,width:int,height:int,histogram:array<long>"
+_READ = f"doc_id long, n_bytes long, payload binary, frames array<struct<{_FRAME}>>, histogram array<long>, media binary"
+#: Rows read back are given on once they hold so many bytes.
+GIVEN = 1 << 24
 _DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs long"
 
 
@@ -38,38 +43,40 @@ def _write(text: bytes) -> bytes:
     return gif.encode(np.frombuffer(padded(text), dtype=np.uint8), UNIT, delay=DELAY)
 
 
-def _colours(found: gif.Gif) -> np.ndarray:
-    """BINS counts each of red, green and blue over the areas of all frames, as they are shown.
+def _histogram(palette: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BINS counts each of red, green and blue."""
+    out = np.zeros(3 * BINS, dtype=np.int64)
+    for c in range(3):
+        np.add.at(out[c * BINS : (c + 1) * BINS], palette[:, c] // (256 // BINS), counts)
+    return out
+
+
+def _colours(found: gif.Gif, areas: list[tuple[np.ndarray, np.ndarray | None]]) -> list[np.ndarray]:
+    """The colours of each frame's area as it is shown.
 
     Where a frame is transparent, what disposal left beneath it is counted, and nothing where that is empty too; what
-    lies outside the canvas isn't shown. Opaque frames inside the canvas show their own samples: these are counted by
-    index, without a canvas.
+    lies outside the canvas isn't shown. Frames of one palette are counted by index, without a canvas of colours.
     """
-    out = np.zeros(3 * BINS, dtype=np.int64)
-
-    def add(palette: np.ndarray, counts: np.ndarray) -> None:
-        for c in range(3):
-            np.add.at(out[c * BINS : (c + 1) * BINS], palette[:, c] // (256 // BINS), counts)
-
-    if all(f.transparent is None and f.left + f.width <= found.width and f.top + f.height <= found.height for f in found.frames):
-        for f in found.frames:
-            add(f.palette, np.bincount(f.indices.reshape(-1), minlength=256)[: len(f.palette)])
-    else:
-        for f, canvas in zip(found.frames, gif.shown(found)):
-            area = canvas[f.top : f.top + f.height, f.left : f.left + f.width].reshape(-1, 4)
-            seen = area[area[:, 3] > 0]
-            add(seen, np.ones(len(seen), dtype=np.int64))
+    if all(f.palette is found.frames[0].palette for f in found.frames):
+        counts = [np.bincount((a if seen is None else a[seen]).reshape(-1), minlength=256) for a, seen in areas]
+        return [_histogram(f.palette, n[: len(f.palette)]) for f, n in zip(found.frames, counts)]
+    out = []
+    for f, canvas in zip(found.frames, gif.shown(found)):
+        area = canvas[f.top : f.top + f.height, f.left : f.left + f.width].reshape(-1, 4)
+        seen = area[area[:, 3] > 0]
+        out.append(_histogram(seen, np.ones(len(seen), dtype=np.int64)))
     return out
 
 
-def _read(media: bytes) -> tuple[bytes, list[tuple[int, int, int, int]], np.ndarray]:
-    """The stored samples, the frames' times and the colour histogram, all from the decoded stream."""
+def _read(media: bytes) -> tuple[bytes, list[tuple], np.ndarray]:
+    """The samples as shown, the timed frames and the colour histogram of all, all from the decoded stream."""
     found = gif.decode(media)
-    times, now = [], 0
-    for f in found.frames:
-        times.append((now, now + f.delay, f.width, f.height))
+    areas = list(gif.samples(found))
+    colours, frames, now = _colours(found, areas), [], 0
+    for f, histogram in zip(found.frames, colours):
+        frames.append((now, now + f.delay, f.left, f.top, f.width, f.height, histogram.tolist()))
         now += f.delay
-    return b"".join([f.indices.tobytes() for f in found.frames]), times, _colours(found)
+    return b"".join([a.tobytes() for a, _ in areas]), frames, sum(colours, np.zeros(3 * BINS, dtype=np.int64))
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
@@ -85,26 +92,39 @@ def stored_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _MEDIA)
 
 
+_READ_TYPES = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()),
+        ("frames", pa.list_(pa.struct([*((n, pa.int64()) for n in ("starts_cs", "ends_cs")), *((n, pa.int32()) for n in ("left", "top", "width", "height")), ("histogram", pa.list_(pa.int64()))]))),
+        ("histogram", pa.list_(pa.int64())), ("media", pa.binary()),
+    ]
+)
+
+
 def media_columns(media: DataFrame) -> DataFrame:
-    """Decode stored media: the samples, timed frames and the colour histogram (red, green, blue bins)."""
+    """Decode stored media: the samples, timed frames with their colours, and the colours of all (red, green, blue bins)."""
+    names = [f.name for f in _READ_TYPES.field("frames").type.value_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                payload, times, colours = _read(row["media"])
-                frames = [dict(zip(("starts_cs", "ends_cs", "width", "height"), t)) for t in times]
-                yield pa.RecordBatch.from_pylist([row | {"payload": payload, "frames": frames, "histogram": colours.tolist()}], schema=_READ_SCHEMA)
+        out, size = [], 0
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _READ)
+        def given() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pylist(out, schema=_READ_TYPES)
+            out.clear()
+            return made
 
+        for batch in batches:
+            for doc_id, n_bytes, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = data.as_py()
+                payload, frames, colours = _read(data)
+                out.append({"doc_id": doc_id, "n_bytes": n_bytes, "payload": payload, "frames": [dict(zip(names, f)) for f in frames], "histogram": colours.tolist(), "media": data})
+                size += len(payload) + len(data)
+                if size > GIVEN:
+                    yield given()
+                    size = 0
+        yield given()
 
-_READ_SCHEMA = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()),
-        ("frames", pa.list_(pa.struct([("starts_cs", pa.int64()), ("ends_cs", pa.int64()), ("width", pa.int32()), ("height", pa.int32())]))),
-        ("histogram", pa.list_(pa.int64())), ("media", pa.binary()),
-    ]
-)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _READ)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -114,8 +134,8 @@ def digests(media: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for data in batch.column(2).to_pylist():
-                payload, times, colours = _read(data)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), ":".join(map(str, colours.tolist())), len(times), times[-1][1]))
+                payload, frames, colours = _read(data)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), ":".join(map(str, colours.tolist())), len(frames), frames[-1][1]))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
             columns = list(zip(*out)) if out else [()] * len(kinds)
             names = [x.split()[0] for x in _DIGESTS.split(", ")]

@@ -62,7 +62,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_media.digests(gif_media.stored_media(table(spark, sf_dir, "documents")))
+    media = gif_media.stored_media(table(spark, sf_dir, "documents"))
+    return gif_media.digests(stored(media, "media", compression="zstd"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
