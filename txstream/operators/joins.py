@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 SHARE = 1_000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "left") -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "left", total: int | None = None) -> DataFrame:
     """rows with the columns of ``table``, which has one row for a key and counts in ``n`` the rows that have it.
 
     Rows of hot keys are joined where they are, with fewer than SHARE rows of the table; the rest is shuffled, no key with
     more than its SHARE-th part. Rows whose key is null or not in the table get nulls (``how``: left) or go (inner). Both
-    inputs are read several times. ``n`` itself isn't given on.
+    inputs are read several times. ``n`` itself isn't given on. ``total``: the sum of ``n``, where it is known.
     """
-    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] if total is None else total
     hot = F.col(n) * SHARE > total
     few, many = table.where(hot).drop(n), table.where(~hot).drop(n)
     found = rows.join(F.broadcast(few), key)
