@@ -62,6 +62,56 @@ def test_a_cloud_of_copies_around_the_threshold(spark, monkeypatch, block):
     assert found_of(near_dedup.near_duplicates(docs, 2, 80)) == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize(("members", "block"), [(8, 1 << 20), (4_096, 2_000)])
+def test_large_groups_go_through_many_blocks(spark, monkeypatch, members, block):
+    """A tight group, a chain whose ends aren't similar, and a loose cloud, each in blocks much smaller than itself."""
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r, words = random.Random(6), [f"w{k}" for k in range(5_000)]
+    rows, tight, chain = [], [r.choice(words) for _ in range(80)], [r.choice(words) for _ in range(100)]
+    for k in range(60):
+        copy = list(tight)
+        copy[r.randrange(80)] = r.choice(words)
+        rows.append((k + 1, " ".join(copy)))
+    for k in range(30):
+        for at in range(3):
+            chain[(k * 3 + at) % 100] = r.choice(words)
+        rows.append((100 + k, " ".join(chain)))
+    cloud = [r.choice(words) for _ in range(100)]
+    for k in range(40):
+        copy = list(cloud)
+        for at in r.sample(range(100), r.choice([3, 5, 8])):
+            copy[at] = r.choice(words)
+        rows.append((200 + k, " ".join(copy)))
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA)
+    assert found_of(near_dedup.near_duplicates(docs, 1, 80)) == brute(rows, 1, 80)
+
+
+def test_a_block_of_short_near_copies_is_small():
+    """Memory grows with the values of a block, not with its members times its values; MEMBERS bounds both."""
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    base = np.sort(r.integers(0, 1 << 62, 26).astype(np.uint64))
+    n = 1_600
+    sets = [np.sort(np.concatenate([base[:-2], r.integers(0, 1 << 62, 2).astype(np.uint64)])) for _ in range(n)]
+    minima = np.stack([near_dedup.minima(x) for x in sets[:64]]).astype(np.uint8)
+    group = {"ids": np.arange(n), "label": np.arange(n), "visits": np.arange(n) >= n // 2, "small": minima[np.arange(n) % 64], "sets": sets}
+    tracemalloc.start()
+    links = near_dedup.block_links(group, near_dedup.least_matches(80), 80)
+    assert tracemalloc.get_traced_memory()[1] < 40e6 and len(links) > n // 3  # 25 kB a member
+    tracemalloc.stop()
+
+
+def test_intersections_against_sets():
+    r = np.random.default_rng(1)
+    rows = [np.unique(r.integers(0, 300, n).astype(np.uint64)) for n in (1, 5, 50, 200, 200, 9_000)]
+    sizes = near_dedup._common(rows)
+    for x in range(len(rows)):
+        assert sizes(x, np.arange(len(rows))).tolist() == [len(set(rows[x].tolist()) & set(y.tolist())) for y in rows]
+
+
 def test_many_exact_copies_are_one_class(spark):
     rows = [(k, prose(k % 3, 40).upper() if k % 2 else prose(k % 3, 40)) for k in range(1, 300)]
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA)

@@ -1,7 +1,8 @@
 """Connected components of a table of links, by minimum labels with pointer jumping.
 
 Each round every node takes the least label of its neighbours and then its label's own label, so distances halve; a
-round is written to the shared folder, which cuts the lineage. Only the number of changed labels reaches the driver.
+round is written to the shared folder, which cuts the lineage, and the one before goes. Only the number of changed labels
+reaches the driver. A node with many links, and a label that most nodes have, are looked up where their rows are.
 """
 
 from __future__ import annotations
@@ -9,18 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..operators.joins import looked_up
+from .common import released, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id reachable) for every id in links (a, b); an empty table gives none."""
     both = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    # as many links lead from a node as to it
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"), F.count("*").alias("n")), "labels")
+    total, nodes = labels.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        moved = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("via"))
-        jump = labels.select(F.col("id").alias("via"), F.col("component").alias("beyond"))
-        moved = stored(moved.join(jump, "via").select("id", F.least("via", "beyond").alias("component"), (F.least("via", "beyond") < F.col("component")).alias("changed")), "labels")
-        labels = moved.select("id", "component")
-        if moved.where("changed").isEmpty():
-            return labels
+        near = looked_up(both, labels.select(F.col("id").alias("b"), "component", "n"), "b", total=total)
+        near = near.groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        moved = stored(labels.join(near, "id").select("id", "component", "n", F.least("component", "near").alias("via")), "labels")
+        vias = moved.groupBy("via").agg(F.count("*").alias("times"))
+        jump = vias.join(labels.select(F.col("id").alias("via"), F.col("component").alias("beyond")), "via")
+        found = looked_up(moved, jump, "via", "times", total=nodes)
+        changed = F.least("via", "beyond") < F.col("component")
+        new = stored(found.select("id", F.least("via", "beyond").alias("component"), "n", changed.alias("changed")), "labels")
+        released(labels, moved)
+        labels = new
+        if labels.where("changed").isEmpty():
+            released(both)
+            return labels.select("id", "component")

@@ -7,17 +7,25 @@
    representatives of its bucket, chosen by hash (a different one for each fourth of the bands). Candidates are compared
    in batches of ``BATCH`` minima; a pair goes as soon as the posterior probability (uniform prior) that its similarity
    reaches the threshold falls below ``MISS``. Survivors join their classes into clusters of similar documents. Buckets
-   that still hold several clusters are compared whole, in pairs of blocks, under the same bounds; a block gives on a
-   forest that joins its surviving pairs, never the pairs.
-3. All surviving pairs lie within clusters. Each cluster is dealt into blocks of about ``BLOCK`` shingles, and each pair of
-   blocks confirms its surviving pairs on full sets in one task. Of the links between two components one is given on.
+   that still hold several clusters are compared whole, under the same bounds, in blocks that give on a forest.
+3. All surviving pairs lie within clusters. A cluster's members meet in blocks inside tasks, where surviving pairs are
+   confirmed on full sets; of the links between two components one is given on.
 
-So pairs never become rows, and the links lost are those that share no band, (1 - s**ROWS)**BANDS of the pairs at
-similarity s (3e-6 at 0.8), and MISS of the pruned.
+Blocks hold up to about ``MEMBERS`` members and ``BLOCK`` shingles, whatever the size of a bucket or cluster. One that
+needs several blocks goes through three steps (``linked``): pairs within blocks; then a few members of each component so
+far, in blocks of their own, as long as that joins components; and last all members outside the largest component
+against everyone. So a large group that hangs together costs what its members do, and no pair of two components is left
+out. What the last step adds grows with the members outside the largest component alone.
+
+Pairs never become rows, and the links lost are those that share no band, (1 - s**ROWS)**BANDS of the pairs at
+similarity s (3e-6 at 0.8), and MISS of the pruned. Keys that many rows have (a set, a band, a cluster) are looked up
+where the rows are (``operators.joins``).
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; a text with fewer words than
-a shingle is one shingle; rows with a null id are linked with nothing, are kept, and have a null component; rows that
-share an id are one document; an empty table gives none; other columns are ignored.
+a shingle is one shingle; very long texts take part with their whole sets; a similarity of exactly the threshold is a link;
+equal sets are one class and the least id stands for a component; rows with a null id are linked with nothing, are kept,
+and have a null component; rows that share an id are one document; an empty table gives none; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, stored, texts, windows
+from ..operators.joins import looked_up
+from .common import WordHash, released, stored, texts, windows
 from .components import components
 
 HASHES, ROWS, BANDS = 128, 4, 24
 BATCH, MISS = 16, 1e-6
-#: Members of a block of minima, and shingles of a block of sets (8 bytes each): a task holds two blocks.
+#: Members and shingles (8 bytes each) of a block: a task holds two blocks.
 MEMBERS, BLOCK = 1 << 12, 1 << 20
+#: Members that stand for a component of a cluster of many blocks.
+SPOKESMEN = 4
 #: Representatives of a bucket: as many orders of its members are tried, one for each group of bands.
 ORDERS = 4
 _SKETCH = "doc_id long, n_shingles long, set_key binary, minima binary, bands array<long>"
@@ -134,7 +145,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs that sequential comparison of their minima doesn't prune."""
+    """a, b of the pairs (id, rep) that sequential comparison of their minima doesn't prune. Many may have one rep."""
     least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,55 +154,61 @@ def compared(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
             at = pa.array(surviving(*sides, least)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    left = small.select(F.col("doc_id").alias("a"), F.col("minima").alias("minima_a"))
-    right = small.select(F.col("doc_id").alias("b"), F.col("minima").alias("minima_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "minima_a", "minima_b").mapInArrow(run, "a long, b long")
-
-
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    reps = pairs.groupBy("rep").agg(F.count("*").alias("n")).join(small.select(F.col("doc_id").alias("rep"), F.col("minima").alias("other")), "rep")
+    own = pairs.join(small.withColumnRenamed("doc_id", "id"), "id")
+    return looked_up(own, reps, "rep", how="inner").select("id", "rep", "minima", "other").mapInArrow(run, "a long, b long")
 
 
 def _common(rows: list[np.ndarray]):
-    """Exact sizes of intersections: sets as bit rows over the shingles that at least two of them have."""
-    values, at, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    column = np.cumsum(n > 1) - 1
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    shared = n[at] > 1
-    owner, column = owner[shared], column[at[shared]]
-    width, parts = 1 << 15, []
-    for low in range(0, int((n > 1).sum()), width):  # in column ranges, so that a dense part stays small
-        here = (column >= low) & (column < low + width)
-        bits = np.zeros((len(rows), width), dtype=bool)
-        bits[owner[here], column[here] - low] = True
-        parts.append(np.packbits(bits, axis=1).view(np.uint64))
+    """Exact sizes of intersections, by the rows that have each value: 20 bytes a value, however many rows there are."""
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    at = np.unique(np.concatenate(rows), return_inverse=True)[1].astype(np.int32)
+    order = np.argsort(at, kind="stable")
+    owner = (np.searchsorted(bounds, order, "right") - 1).astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(np.bincount(at))])
 
     def sizes(x: int, others: np.ndarray) -> np.ndarray:
-        return sum((np.bitwise_count(p[others] & p[x]).sum(axis=1, dtype=np.int64) for p in parts), np.zeros(len(others), np.int64))
+        mine = at[bounds[x] : bounds[x + 1]]
+        found = np.zeros(len(rows), dtype=np.int64)
+        for k in range(0, len(mine), 4096):  # the rows of so many values at a time
+            start, n = first[mine[k : k + 4096]], first[mine[k : k + 4096] + 1] - first[mine[k : k + 4096]]
+            places = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            found += np.bincount(owner[places], minlength=len(rows))
+        return found[others]
 
     return sizes
 
 
-def _pairs(group: dict, cross: bool, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of a block its partners that survive: with another label, and of another root than its own so far.
+def _pairs(group: dict, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a block its partners that survive, of another root than its own so far.
 
-    ``cross``: the members are of two blocks (``second`` tells which), and only pairs across them are compared.
+    Where members visit, they are compared with those that live in the block; else all are, each pair once.
     """
-    label, root, second, small = (group[c] for c in ("label", "root", "second", "small"))
-    for x in np.flatnonzero(~second) if cross else range(len(label)):
-        others = np.flatnonzero(second) if cross else np.arange(x + 1, len(label))
-        others = others[(root[others] != root[x]) & (label[others] != label[x])]
+    root, visits, small = group["root"], group["visits"], group["small"]
+    cross, living = visits.any(), np.flatnonzero(~visits)
+    for x in np.flatnonzero(visits) if cross else range(len(root)):
+        others = living if cross else living[x + 1 :]
+        others = others[root[others] != root[x]]
         if len(others):
             others = others[surviving(np.broadcast_to(small[x], (len(others), HASHES)), small[others], least)[0]]
             if len(others):
                 yield x, others
 
 
-def block_clusters(group: dict, cross: bool, least: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (a, b) that join the members of a block into groups within which all its surviving pairs lie."""
-    ids, out = group["ids"], []
-    group = group | {"root": (root := np.arange(len(ids)))}
-    for x, others in _pairs(group, cross, least):
+def block_links(group: dict, least: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (a, b) that join the members of a block into components of its surviving pairs; where the group has sets, of
+    those that they confirm. Members with one label are joined already."""
+    ids, sets, common, out = group["ids"], group.get("sets"), None, []
+    sizes = np.array([len(x) for x in sets]) if sets is not None else None
+    group = group | {"root": (root := group["label"].copy())}
+    for x, others in _pairs(group, least):
+        if sets is not None:
+            others = others[np.minimum(sizes[others], sizes[x]) * 100 >= percent * np.maximum(sizes[others], sizes[x])]
+            if not len(others):
+                continue
+            common = common or _common(sets)
+            shared = common(x, others)
+            others = others[100 * shared >= percent * (sizes[x] + sizes[others] - shared)]
         for y in others:
             if root[x] != root[y]:
                 out.append((ids[x], ids[y]))
@@ -199,54 +216,91 @@ def block_clusters(group: dict, cross: bool, least: np.ndarray) -> list[tuple[in
     return out
 
 
-def block_links(group: dict, cross: bool, least: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among the members of a block, confirmed on full sets; of those between two components one is enough."""
-    ids, sets, common, out = group["ids"], group["sets"], None, []
-    sizes = np.array([len(x) for x in sets])
-    group = group | {"root": (root := group["label"].copy())}
-    for x, others in _pairs(group, cross, least):
-        others = others[np.minimum(sizes[others], sizes[x]) * 100 >= percent * np.maximum(sizes[others], sizes[x])]
-        if not len(others):
-            continue
-        common = common or _common(sets)
-        shared = common(x, others)
-        for y in others[100 * shared >= percent * (sizes[x] + sizes[others] - shared)]:
-            if root[x] != root[y]:
-                out.append((ids[x], ids[y]))
-                root[root == root[y]] = root[x]
-    return out
+def _blocks(weight, n):
+    return F.ceil(F.greatest(weight / BLOCK, n / MEMBERS))
 
 
-def _blocks(members: DataFrame, small: DataFrame, sets: DataFrame | None, block: int, percent: int) -> DataFrame:
-    """a, b: what ``block_links`` (with sets) or ``block_clusters`` finds among members (key, id, label, size) of a key.
+def _within(members: DataFrame) -> DataFrame:
+    """members (key, id, label, weight) dealt into blocks (i), each with its own alone."""
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("n"), _blocks(F.sum("weight"), F.count("*")).alias("blocks")), "sizes")
+    dealt = looked_up(members, sizes, "key", how="inner")
+    return dealt.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("i"), F.lit(0).cast("long").alias("j"), "id", "label", F.lit(False).alias("visits"))
 
-    The members of a key are dealt into ceil(size / block) blocks by hash; each pair of blocks meets in one task.
-    """
-    blocks = F.ceil(F.col("size") / block)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    dealt = members.select("key", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "own")
+
+def _across(members: DataFrame) -> DataFrame:
+    """members dealt so that each pair of two labels meets: those outside a key's largest label, in parts (j), visit all
+    blocks (i) of the key."""
+    labels = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    keys = labels.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    rest = _blocks(F.col("w") - F.col("top.w"), F.col("n") - F.col("top.n"))
+    keys = stored(keys.select("key", F.col("top.label").alias("top"), "n", _blocks(F.col("w"), F.col("n")).alias("blocks"), rest.alias("parts")).where("parts > 0"), "sizes")
+    dealt = looked_up(members, keys, "key", how="inner")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    living = dealt.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("i"), all_of("parts").alias("j"), "id", "label", F.lit(False).alias("visits"))
+    visiting = dealt.where("label != top").select("key", all_of("blocks").alias("i"), F.pmod(F.xxhash64("id"), "parts").alias("j"), "id", "label", F.lit(True).alias("visits"))
+    return living.unionByName(visiting)
+
+
+def _met(dealt: DataFrame, small: DataFrame, sets: DataFrame | None, percent: int) -> DataFrame:
+    """a, b: what ``block_links`` finds in each block (key, i, j)."""
     full = dealt.join(small.withColumnRenamed("doc_id", "id"), "id")
     if sets is not None:
         full = full.join(sets.withColumnRenamed("doc_id", "id"), "id")
     least, with_sets = least_matches(percent), sets is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), found in runs(batches, 3):
+        for _, found in runs(batches, 3):
             group = {
-                "ids": found.column("id").to_numpy(), "label": found.column("label").to_numpy(), "second": (found.column("own").to_numpy() == j) & (i != j),
+                "ids": found.column("id").to_numpy(), "label": found.column("label").to_numpy(), "visits": found.column("visits").to_numpy(),
                 "small": np.frombuffer(b"".join(found.column("minima").to_pylist()), dtype=np.uint8).reshape(-1, HASHES),
             }
             if with_sets:
                 group["sets"] = [np.frombuffer(x, dtype=np.uint64) for x in found.column("shingles").to_pylist()]
-            pairs = block_links(group, bool(i != j), least, percent) if with_sets else block_clusters(group, bool(i != j), least)
+            pairs = block_links(group, least, percent)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
-    full = full.select("key", "i", "j", "id", "label", "own", "minima", *(["shingles"] if with_sets else []))
+    full = full.select("key", "i", "j", "id", "label", "visits", "minima", *(["shingles"] if with_sets else []))
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def linked(members: DataFrame, small: DataFrame, sets_of, percent: int) -> DataFrame:
+    """a, b: links that join each key's members (key, id, label, weight) as all surviving pairs among them do.
+
+    ``sets_of(ids)`` gives the full sets that confirm pairs, or None where minima are to decide.
+    """
+
+    def met(dealt: DataFrame) -> DataFrame:
+        dealt = stored(dealt, "dealt")
+        return stored(_met(dealt, small, sets_of(dealt.select(F.col("id").alias("doc_id")).distinct()), percent), "met")
+
+    def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of keys that have several labels still, labels renewed by the links between them."""
+        named = rows.select("id", "label").distinct()
+        ends = links.join(named.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+        new = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a != b"))
+        counts = rows.groupBy("label").agg(F.count("*").alias("n")).join(new.withColumnRenamed("id", "label"), "label")
+        renewed = stored(looked_up(rows, stored(counts, "labels"), "label").withColumn("label", F.coalesce("component", "label")).drop("component"), "members")
+        mixed = renewed.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        return stored(looked_up(renewed, stored(mixed.select("key", "n"), "mixed"), "key", how="inner"), "members")
+
+    links = met(_within(members))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), _blocks(F.sum("weight"), F.count("*")).alias("blocks")).where("blocks > 1")
+    large = stored(looked_up(members, stored(sizes.drop("blocks"), "large"), "key", how="inner"), "members")
+    if large.isEmpty():
+        return links
+    large, labels = relabelled(large, links), None
+    while not large.isEmpty():
+        before, labels = labels, large.select("key", "label").distinct().count()
+        if before is not None and 2 * labels > before:  # what is left isn't joined by a few members of each
+            return links.union(met(_across(large)))
+        chosen = F.array_distinct(F.array(*[F.min_by(F.struct("id", "weight"), F.xxhash64("id", F.lit(k))) for k in range(SPOKESMEN)]))
+        few = large.groupBy("key", "label").agg(chosen.alias("some"))
+        found = met(_within(few.select("key", "label", F.explode("some").alias("one")).select("key", "one.id", "label", "one.weight")))
+        links, large = links.union(found), relabelled(large, found)
+    return links
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of neighbouring rows with equal first ``keys`` columns, across batches; one group is held at a time."""
     held: list[pa.RecordBatch] = []
@@ -274,31 +328,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept for every row; links join sets with a Jaccard similarity of percent / 100."""
     sketch = stored(sketches(docs, size), "sketches")
     known = sketch.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    leaders = stored(known.join(classes, (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select("doc_id", "n_shingles", "minima", "bands"), "leaders")
+    classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    named = classes.select(F.col("set_key").alias("key"), "rep")
+    leaders = stored(known.join(named, (known.set_key == named.key) & (known.doc_id == named.rep)).select("doc_id", "n_shingles", "minima", "bands"), "leaders")
     small = leaders.select("doc_id", "minima")
 
     bands = leaders.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     tried = F.min_by(F.col("id"), F.xxhash64(F.col("id"), F.pmod("band", F.lit(ORDERS))))
     buckets = stored(bands.groupBy("key").agg(tried.alias("rep"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = stored(bands.select("key", "id").join(buckets, "key"), "members")
-    pairs = members.where("id != rep").select(*_ordered("id", "rep")).distinct()
+    members = stored(looked_up(bands.select("key", "id"), buckets.withColumn("size", F.col("n")), "key", how="inner"), "members")
+    pairs = stored(members.where("id != rep").select("id", "rep").distinct(), "pairs")
     open_pairs = stored(compared(pairs, small, percent), "survivors")
     similar = components(open_pairs)
 
     # buckets whose representatives haven't brought all their members together
-    named = members.where("n > 2").join(similar, "id", "left").select("key", "id", F.col("n").alias("size"), F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    more = stored(_blocks(named.join(mixed, "key"), small, None, MEMBERS, percent), "forest")
-    if not more.isEmpty():
-        similar = components(open_pairs.union(more))
-
-    near = stored(leaders.select(F.col("doc_id").alias("id"), "n_shingles").join(similar, "id").select(F.col("component").alias("key"), "id", F.col("id").alias("label"), "n_shingles"), "near")
-    sizes = near.groupBy("key").agg(F.sum("n_shingles").alias("size"))
-    sets = shingle_sets(docs, near.select(F.col("id").alias("doc_id")), size)
-    labels = components(_blocks(near.join(sizes, "key"), small, sets, BLOCK, percent))
-
-    named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
+    labelled = stored(members.where("size > 2").select("key", "id").join(similar, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"), F.lit(0).cast("long").alias("weight")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "n")
+    mixed = stored(looked_up(labelled, stored(mixed, "mixed"), "key", how="inner"), "mixed")
+    if not mixed.isEmpty():
+        similar = components(open_pairs.union(linked(mixed, small, lambda ids: None, percent)))
+
+    near = leaders.select(F.col("doc_id").alias("id"), "n_shingles").join(similar, "id")
+    near = stored(near.select(F.col("component").alias("key"), "id", F.col("id").alias("label"), F.col("n_shingles").alias("weight")), "near")
+    labels = components(linked(near, small, lambda ids: shingle_sets(docs, ids, size), percent))
+
+    found = stored(classes.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"), "n"), "found")
+    released(classes, leaders, buckets, members, pairs, open_pairs, labelled, mixed, near)
+    rows = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return looked_up(rows, found, "set_key").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
