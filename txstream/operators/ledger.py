@@ -1,15 +1,19 @@
 """Ledgers: transactions over keyed states, with the outcome of running them one after another in tid order.
 
 Operations are rows (tid, ord, ns, key, amount): ``ord`` orders a transaction's operations. A transaction commits if the
-invariant holds after each of its operations; else it writes nothing. Four ways to the same outcome:
+invariant holds after each of its operations; else it writes nothing. Ways to the same outcome:
 
 ``running_sums``   no invariant: prefix sums.
-``rounds``         additive states: each round takes all votes as given, sums every key's committed amounts up to each
-                   transaction and votes anew. A vote depends on earlier transactions alone, so the only fixed point is
-                   the serial outcome; rounds repeat until no vote changes. Sums are two-level, by chunks of tids, so a
-                   key with most operations is many groups. What is open after ``max_rounds`` is run in order.
-``serial``         one task runs the transactions in order; the quickest for few, and for chains through one key.
+``rounds``         additive states. A round bounds what every key holds before each open transaction: at least if all that
+                   is open before takes and nothing gives, at most the other way round. What holds at both ends commits,
+                   what fails at both aborts, and these votes are final; the next round carries open transactions alone.
+                   Sums are two-level, by chunks of tids, so a key with most operations is many groups. When no more than
+                   ``serial_limit`` operations are open, or a round decides little, the rest runs in order: transactions
+                   that share no open key, directly or through others, in parallel.
+``serial``         one task runs the transactions in order, whatever the states.
 ``keyed_folds``    transactions of one key each: every key's operations fold in order, all keys in parallel.
+
+Additive states are summed in whole units (``statefn``), so all ways agree bit for bit.
 """
 
 from __future__ import annotations
@@ -18,13 +22,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import TxConfig
+from ..config import PESSIMISTIC, TxConfig
 from ..schemas import ABORT, COMMIT
 from ..sources.shared import stored
-from .statefn import StateFunction
+from .components import components
+from .folds import folded
+from .joins import looked_up
+from .statefn import StateFunction, additive
 
 #: Transactions of a key that are summed up to one number before sums run over keys.
 CHUNK = 1 << 17
@@ -40,10 +47,32 @@ class Outcome:
     rounds: int = 0
 
 
-def running_sums(ops: DataFrame, start: float = 0.0) -> DataFrame:
+def _sums_before(rows: DataFrame, amounts: dict[str, Column], order: tuple[str, ...] = ("tid",)) -> DataFrame:
+    """rows with, for each name in ``amounts``, the sum of that amount over the key's earlier rows.
+
+    ``rows`` carries (ns, key, chunk) and the columns of ``order``. Chunks are summed first; their sums, few for each key,
+    run up to an offset for each chunk; inside a chunk a window adds the rest.
+    """
+    chunks = rows.groupBy(*_KEY, "chunk").agg(*[F.sum(a).alias(f"__{n}") for n, a in amounts.items()])
+    earlier = Window.partitionBy(*_KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    offsets = chunks.select(*_KEY, "chunk", *[F.coalesce(F.sum(f"__{n}").over(earlier), none).alias(f"__{n}") for n in amounts])
+    inside = Window.partitionBy(*_KEY, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(offsets, [*_KEY, "chunk"])
+    found = {n: F.col(f"__{n}") + F.coalesce(F.sum(a).over(inside), none) for n, a in amounts.items()}
+    return joined.withColumns(found).drop(*[f"__{n}" for n in amounts])
+
+
+def running_sums(ops: DataFrame, start: float = 0.0, scale: int = 4, chunk: int = CHUNK) -> DataFrame:
     """ops with ``value``: the key's sum so far, without any guarantee."""
-    order = Window.partitionBy(*_KEY).orderBy("tid", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return ops.withColumn("value", F.lit(start) + F.sum("amount").over(order))
+    fn = additive(start, scale=scale).in_units()
+    rows = ops.withColumn("__units", additive(start, scale=scale).units(F.col("amount"))).withColumn("chunk", _chunk(chunk))
+    sums = _sums_before(rows, {"value": F.col("__units")}, ("tid", "ord"))
+    return sums.withColumn("value", (F.lit(fn.default) + F.col("value") + F.col("__units")) / float(10**scale)).drop("__units", "chunk")
+
+
+def _chunk(size: int) -> Column:
+    return F.floor(F.col("tid") / size).cast("long")
 
 
 def netted(ops: DataFrame) -> DataFrame:
@@ -53,68 +82,111 @@ def netted(ops: DataFrame) -> DataFrame:
     return sums.groupBy("tid", *_KEY).agg(F.sum("amount").alias("net"), F.min("way").alias("low"), F.max("way").alias("high"))
 
 
-def _bounded(states: dict[str, StateFunction], low: str, high: str):
-    found = F.lit(True)
+def _by_state(states: dict[str, StateFunction], give) -> Column:
+    found = F.lit(None)
     for ns, fn in states.items():
-        found = F.when(F.col("ns") == ns, fn.within(F.lit(fn.default) + F.col(low), F.lit(fn.default) + F.col(high))).otherwise(found)
+        found = F.when(F.col("ns") == ns, give(fn)).otherwise(found)
     return found
 
 
-def _sums_before(rows: DataFrame) -> DataFrame:
-    """rows with ``before``: the key's committed amounts of earlier transactions.
+def rounds(ops: DataFrame, states: dict[str, StateFunction], limit: int = 0, chunk: int = CHUNK, start: DataFrame | None = None, least: float = 0.2) -> Outcome:
+    """Additive states in whole units, any number of keys a transaction. ``start``: ns, key, value where it isn't the default.
 
-    ``rows`` carries (tid, ns, key, net, commit, chunk). Chunks are summed first; their sums, few for each key, run up to
-    an offset for each chunk; inside a chunk a window adds the rest.
+    ``limit``: operations that are left to one task in order. A round that decides less than the share ``least`` of what is
+    open is the last, as each of the others would need one of its own.
     """
-    amount = F.when(F.col("commit"), F.col("net")).otherwise(0.0)
-    chunks = rows.groupBy(*_KEY, "chunk").agg(F.sum(amount).alias("s"))
-    earlier = Window.partitionBy(*_KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(*_KEY, "chunk", F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("offset"))
-    inside = Window.partitionBy(*_KEY, "chunk").orderBy("tid").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(offsets, [*_KEY, "chunk"])
-    return joined.withColumn("before", F.col("offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0.0))).drop("offset")
-
-
-def rounds(ops: DataFrame, states: dict[str, StateFunction], max_rounds: int = 40, chunk: int = CHUNK, start: DataFrame | None = None) -> Outcome:
-    """Additive states, any number of keys a transaction. ``start``: ns, key, value where it isn't the default."""
-    rows = netted(ops)
-    if start is not None:  # what a key holds already is a transaction before all others
-        held = start.select(F.lit(None).cast("long").alias("tid"), "ns", "key", (F.col("value") - _default(states)).alias("net"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-        rows = rows.unionByName(held)
-    rows = rows.withColumn("chunk", F.floor(F.coalesce(F.col("tid"), F.lit(-1)) / chunk).cast("long")).withColumn("commit", F.lit(True))
-    rows = stored(rows, "ledger")
-    done, open_from = 0, None
-    whole = Window.partitionBy("tid")
-    while True:
+    rows = netted(ops).withColumn("chunk", _chunk(chunk)).withColumn("base", F.lit(0).cast("bigint"))
+    if start is not None:
+        held = start.select(*_KEY, F.col("value").alias("held"))
+        rows = rows.join(held, list(_KEY), "left").withColumn("base", F.coalesce(F.col("held") - _by_state(states, lambda f: F.lit(f.default)), "base")).drop("held")
+    rows = stored(rows.withColumn("base", F.col("base") + _by_state(states, lambda f: F.lit(f.default))), "ledger")
+    n_open, done, votes = rows.count(), 0, []
+    every = open_ = rows.withColumn("sure", F.lit(False))
+    own = Window.partitionBy("tid")
+    while n_open > limit:
         done += 1
-        judged = _sums_before(rows).withColumn("low_at", F.col("before") + F.col("low")).withColumn("high_at", F.col("before") + F.col("high"))
-        ok = F.col("tid").isNull() | _bounded(states, "low_at", "high_at")
-        voted = judged.withColumn("ok", ok).withColumn("next", F.when(F.col("tid").isNull(), True).otherwise(F.min("ok").over(whole)))
-        rows = stored(voted.select("tid", *_KEY, "net", "low", "high", "chunk", "before", F.col("next").alias("commit"), (F.col("next") != F.col("commit")).alias("moved")), "ledger")
-        open_from = rows.where("moved").agg(F.min("tid")).first()[0]
-        if open_from is None or done >= max_rounds:
+        # what committed in the last round is exact; of what is open, all that takes, or all that gives
+        exact = F.when(F.col("sure"), F.col("net")).otherwise(0)
+        takes, gives = (F.when(F.col("sure"), F.col("net")).otherwise(side(F.col("net"), F.lit(0))) for side in (F.least, F.greatest))
+        judged = _sums_before(open_, {"exact": exact, "takes": takes, "gives": gives}).where(~F.col("sure"))
+        at = lambda sums, way: F.col("base") + F.col(sums) + F.col(way)
+        holds = _by_state(states, lambda f: f.within(at("takes", "low"), at("gives", "high")))
+        fails = _by_state(states, lambda f: f.beyond(at("gives", "low"), at("takes", "high")))
+        voted = judged.select("tid", *_KEY, "net", "low", "high", "chunk", (F.col("base") + F.col("exact")).alias("base"), holds.alias("holds"), fails.alias("fails"))
+        voted = voted.withColumns({"sure": F.min("holds").over(own), "gone": F.max("fails").over(own)}).drop("holds", "fails")
+        voted = stored(voted, "round")
+        votes.append(voted.where("sure or gone").select("tid", F.col("sure").alias("commit")))
+        open_ = voted.where("not gone").drop("gone")
+        before, n_open = n_open, open_.where("not sure").count()
+        if before - n_open < least * before:
             break
-        rows = rows.drop("before", "moved")
-    settled = rows.where(F.col("tid").isNotNull())
-    if open_from is not None:  # all votes before the first one that moved are final
-        settled = settled.where(F.col("tid") < open_from)
-    value = (_default(states) + F.col("before") + F.col("net")).alias("value")
-    votes = settled.groupBy("tid").agg(F.min("commit").alias("commit")).select("tid", F.when(F.col("commit"), COMMIT).otherwise(ABORT).alias("vote"))
-    writes = settled.where("commit").select(*_KEY, "tid", value)
-    if open_from is not None:
-        last = writes.groupBy(*_KEY).agg(F.max_by("value", "tid").alias("value"))
-        if start is not None:
-            last = last.unionByName(start.select(*_KEY, "value").join(last, list(_KEY), "left_anti"))
-        rest = serial(ops.where(F.col("tid") >= open_from), states, last)
-        votes, writes = votes.unionByName(rest.votes), writes.unionByName(rest.writes)
-    return Outcome(votes, writes, done)
-
-
-def _default(states: dict[str, StateFunction]):
-    found = F.lit(None).cast("double")
-    for ns, fn in states.items():
-        found = F.when(F.col("ns") == ns, F.lit(fn.default)).otherwise(found)
-    return found
+    if n_open:
+        votes.append(_rest(open_, states, one=n_open <= limit))
+    decided = rows.select("tid", F.lit(True).alias("commit")).limit(0)
+    for more in votes:
+        decided = decided.unionByName(more)
+    decided = stored(decided.groupBy("tid").agg(F.min("commit").alias("commit")), "votes")
+    # with all votes known, one pass gives what every key holds after each transaction
+    committed = every.join(decided.where("commit"), "tid", "left_semi")
+    sums = _sums_before(committed, {"before": F.col("net")})
+    writes = sums.select(*_KEY, "tid", (F.col("base") + F.col("before") + F.col("net")).alias("value"))
+    return Outcome(decided.select("tid", F.when(F.col("commit"), COMMIT).otherwise(ABORT).alias("vote")), writes, done)
+
+
+def _rest(rows: DataFrame, states: dict[str, StateFunction], one: bool) -> DataFrame:
+    """tid, commit of the open transactions (``sure`` is false), run in order beside those that are sure.
+
+    ``one``: in one task; else those that share keys, directly or through others, in one, and such groups in parallel.
+    """
+    rows = rows.select("tid", *_KEY, "net", "low", "high", "base", "sure")
+    if one:
+        dealt = rows.withColumn("part", F.lit(0).cast("long")).repartition(1)
+    else:
+        rows = stored(rows.withColumn("node", F.xxhash64(*_KEY)), "rest")
+        asks = rows.where("not sure").select("tid", "node")
+        links = asks.join(asks.groupBy("tid").agg(F.min("node").alias("a")), "tid").select("a", F.col("node").alias("b")).where("a != b")
+        counts = rows.groupBy("node").agg(F.count("*").alias("n"))
+        named = counts.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n")
+        needed = asks.select("node").distinct()  # what touches no open transaction's keys is of no use here
+        dealt = looked_up(rows, stored(named.join(needed, "node", "left_semi"), "parts"), "node", how="inner").drop("node").repartition("part")
+    functions = {ns: (fn.low, fn.high, fn.low_open) for ns, fn in states.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moved: dict[tuple[str, str], int] = {}
+        now, legs, out = None, [], []
+
+        def end() -> None:
+            if not legs:
+                return
+            ok = True
+            for ns, key, net, low, high, base, sure in legs:
+                least, most, is_open = functions[ns]
+                at = base + moved.get((ns, key), 0)
+                if not sure and (least is not None and (at + low < least or is_open and at + low == least) or most is not None and at + high > most):
+                    ok = False
+                    break
+            if ok:
+                for ns, key, net, *_ in legs:
+                    moved[ns, key] = moved.get((ns, key), 0) + net
+            if not legs[0][-1]:
+                out.append((now[1], ok))
+            legs.clear()
+
+        for batch in batches:
+            for part, tid, *leg in zip(*(batch.column(c).to_pylist() for c in ("part", "tid", "ns", "key", "net", "low", "high", "base", "sure"))):
+                if now != (part, tid):
+                    end()
+                    if now is None or now[0] != part:
+                        moved.clear()
+                    now = (part, tid)
+                legs.append(leg)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int64()), pa.array([k for _, k in out], pa.bool_())], names=["tid", "commit"])
+                out.clear()
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int64()), pa.array([k for _, k in out], pa.bool_())], names=["tid", "commit"])
+
+    return stored(dealt.sortWithinPartitions("part", "tid").mapInArrow(run, "tid long, commit boolean"), "rest")
 
 
 def serial(ops: DataFrame, states: dict[str, StateFunction], start: DataFrame | None = None) -> Outcome:
@@ -178,40 +250,55 @@ def serial(ops: DataFrame, states: dict[str, StateFunction], start: DataFrame |
 
 
 def execute(ops: DataFrame, states: dict[str, StateFunction], config: TxConfig = TxConfig(), start: DataFrame | None = None, how: str = "auto") -> Outcome:
-    """Run ops by the way that fits: in one task up to ``serial_limit`` operations, else (if additive) in rounds."""
-    can = all(fn.additive for fn in states.values())
+    """Run ops by the way that fits: additive states in order up to ``serial_limit`` operations and in rounds beyond,
+    other states in order. The way never changes the outcome.
+
+    ``how``: ``serial``, ``rounds`` (whatever the size, to the end), ``groups`` (no rounds: groups of transactions that share
+    keys, each in order). A pessimistic strategy runs groups, as locks on keys would order transactions.
+    """
+    if not all(fn.additive for fn in states.values()):
+        if how not in ("auto", "serial"):
+            raise ValueError(f"{how} need additive states")
+        return serial(ops, states, start)
+    exact = {ns: fn.in_units() for ns, fn in states.items()}
+    units = ops.withColumn("amount", _by_state(states, lambda f: f.units(f.amount(F.col("amount")))))
+    if start is not None:
+        start = start.select(*_KEY, _by_state(states, lambda f: f.units(F.col("value"))).alias("value"))
+    if how == "auto" and config.strategy == PESSIMISTIC:
+        how = "groups"
     if how == "auto":
-        how = "rounds" if can and ops.limit(config.serial_limit + 1).count() > config.serial_limit else "serial"
-    if how == "rounds":
-        if not can:
-            raise ValueError("rounds need additive states")
-        return rounds(ops, states, config.max_rounds, start=start)
-    return serial(ops, states, start)
+        how = "rounds" if ops.limit(config.serial_limit + 1).count() > config.serial_limit else "serial"
+        done = rounds(units, exact, config.serial_limit, start=start) if how == "rounds" else serial(units, exact, start)
+    elif how == "groups":
+        done = rounds(units, exact, 0, start=start, least=2.0)
+    else:
+        done = rounds(units, exact, 0, start=start) if how == "rounds" else serial(units, exact, start)
+    size = _by_state(states, lambda f: F.lit(float(10**f.scale)))
+    return Outcome(done.votes, done.writes.withColumn("value", F.col("value") / size), done.rounds)
 
 
 def keyed_folds(ops: DataFrame, fn: StateFunction, elem: str = "amount", start: DataFrame | None = None) -> DataFrame:
     """tid, ord, ns, key, vote, value: transactions of one operation each; value is the key's after the operation.
 
-    Every key folds its own operations, so a key's operations must fit a task; additive states can run in rounds instead.
+    Every key folds its own operations in order, all keys in parallel.
     """
-    item = f"struct<tid:bigint,ord:{dict(ops.dtypes)['ord']},ok:boolean,v:{fn.value_type}>"
-    kind = f"struct<v:{fn.value_type},out:array<{item}>>"
-    order = F.array_sort(F.collect_list(F.struct("tid", "ord", F.col(elem).alias("e"))))
-    grouped = ops.groupBy(*_KEY).agg(order.alias("all"))
-    first = fn.default_column()
+    ops = ops.select("tid", "ord", *_KEY, F.col(elem).alias("e"))
+    own, first = fn, fn.default_column()
     if start is not None:
-        grouped = grouped.join(start.select(*_KEY, F.col("value").alias("held")), list(_KEY), "left")
+        ops = ops.join(start.select(*_KEY, F.col("value").alias("held")), list(_KEY), "left")
         first = F.coalesce(F.col("held"), first)
+    if fn.additive:
+        own, first, ops = fn.in_units(), fn.units(first), ops.withColumn("e", fn.units(fn.amount(F.col("e"))))
+    apply, holds = own.py_apply, own.py_invariant
 
-    def step(s, x):
-        new = fn.apply(s["v"], x["e"])
-        ok = F.coalesce(fn.invariant(new), F.lit(False))
-        value = F.when(ok, new).otherwise(s["v"])
-        return F.struct(value.alias("v"), F.array_append(s["out"], F.struct(x["tid"].alias("tid"), x["ord"].alias("ord"), ok.alias("ok"), value.alias("v"))).alias("out")).cast(kind)
+    def step(value, row: dict) -> tuple:
+        new = apply(value, row["e"])
+        ok = bool(holds(new))
+        return (new if ok else value), ok
 
-    begin = F.struct(first.alias("v"), F.array().cast(f"array<{item}>").alias("out")).cast(kind)
-    one = grouped.select(*_KEY, F.explode(F.aggregate("all", begin, step, lambda s: s["out"])).alias("o"))
-    return one.select("o.tid", "o.ord", *_KEY, F.when(F.col("o.ok"), COMMIT).otherwise(ABORT).alias("vote"), F.col("o.v").alias("value"))
+    found = folded(ops, _KEY, ("tid", "ord"), first, own.value_type, step, ("tid", "ord"))
+    value = F.col("value") / float(10**fn.scale) if fn.additive else F.col("value")
+    return found.select("tid", "ord", *_KEY, F.when(F.col("ok"), COMMIT).otherwise(ABORT).alias("vote"), value.alias("value"))
 
 
 def free_writes(ops: DataFrame, states: dict[str, StateFunction], start: DataFrame | None = None) -> DataFrame:
@@ -224,8 +311,14 @@ def free_writes(ops: DataFrame, states: dict[str, StateFunction], start: DataFra
     return out
 
 
-def conflict_ranks(ops: DataFrame) -> DataFrame:
+def conflict_ranks(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """tid, ns, key, position: the place of a transaction in its key's lock queue; its greatest is its dependency depth's floor."""
-    queue = Window.partitionBy(*_KEY).orderBy("tid")
-    return ops.select("tid", *_KEY).distinct().withColumn("position", F.row_number().over(queue))
+    rows = ops.select("tid", *_KEY).distinct().withColumn("chunk", _chunk(chunk))
+    return _sums_before(rows, {"position": F.lit(1)}).withColumn("position", (F.col("position") + 1).cast("int")).drop("chunk")
+
 
+def dependencies(ops: DataFrame) -> DataFrame:
+    """tid, depends_on: the transactions right before it in the queues of its keys, which decide before it can."""
+    queue = Window.partitionBy(*_KEY).orderBy("tid")
+    pairs = ops.select("tid", *_KEY).distinct().withColumn("blocker", F.lag("tid").over(queue)).where("blocker is not null")
+    return pairs.groupBy("tid").agg(F.array_sort(F.collect_set("blocker")).alias("depends_on"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ABORT, COMMIT
+from .folds import folded
 from .statefn import StateFunction
 
 
@@ -23,23 +24,19 @@ def checked(commands: DataFrame, fn: StateFunction) -> DataFrame:
 def apply_commands(commands: DataFrame, fn: StateFunction, state: DataFrame | None = None) -> DataFrame:
     """spu_id, ns, key, vote, value: each key's commands in their order (ord), from its state or the default.
 
-    The value is the key's after the command: unchanged where the invariant refused it.
+    The value is the key's after the command: unchanged where the invariant refused it. ``state``: ns, key, value.
     """
-    kind = f"struct<v:{fn.value_type},out:array<struct<spu_id:string,ok:boolean,v:{fn.value_type}>>>"
-    grouped = checked(commands, fn).groupBy("ns", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "spu_id", "method", "params"))).alias("all"))
+    rows = checked(commands, fn).select("ns", "key", "spu_id", "ord", "method", "params")
     first = fn.default_column()
     if state is not None:
-        grouped = grouped.join(state.select("ns", "key", F.col("value").alias("held")), ["ns", "key"], "left")
+        rows = rows.join(state.select("ns", "key", F.col("value").alias("held")), ["ns", "key"], "left")
         first = F.coalesce(F.col("held"), first)
+    methods, holds = {name: forms[1] for name, forms in fn.commands.items()}, fn.py_invariant
 
-    def step(s, c):
-        new = F.lit(None).cast(fn.value_type)
-        for name, (column, _) in fn.commands.items():
-            new = F.when(c["method"] == name, column(c["params"][0], s["v"])).otherwise(new)
-        ok = F.coalesce(fn.invariant(new), F.lit(False))
-        value = F.when(ok, new).otherwise(s["v"])
-        return F.struct(value.alias("v"), F.array_append(s["out"], F.struct(c["spu_id"].alias("spu_id"), ok.alias("ok"), value.alias("v"))).alias("out")).cast(kind)
-
-    start = F.struct(first.alias("v"), F.array().cast(f"array<struct<spu_id:string,ok:boolean,v:{fn.value_type}>>").alias("out")).cast(kind)
-    one = grouped.select("ns", "key", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("o"))
-    return one.select("o.spu_id", "ns", "key", F.when(F.col("o.ok"), COMMIT).otherwise(ABORT).alias("vote"), F.col("o.v").alias("value"))
+    def step(value, row: dict) -> tuple:
+        new = methods[row["method"]](row["params"][0], value)
+        ok = new is not None and holds(new)
+        return (new if ok else value), ok
+
+    found = folded(rows, ("ns", "key"), ("ord", "spu_id"), first, fn.value_type, step, ("spu_id",))
+    return found.select("spu_id", "ns", "key", F.when(F.col("ok"), COMMIT).otherwise(ABORT).alias("vote"), "value")

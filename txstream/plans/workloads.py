@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import metrics
-from ..config import TxConfig
+from ..config import PESSIMISTIC, TxConfig
 from ..functions import paths, text, timestamps, votes
 from ..operators import ledger, query, spu, store, tgraph, windows
 from ..operators.statefn import ACCOUNT_COMMANDS, StateFunction, additive, appending, overwriting
 from ..schemas import ABORT, COMMIT, REPLAY
 from ..sources import generators, wal
 
-#: Accounts of the bank, start of a balance, units of a product in stock, greatest number of votes.
-ACCOUNTS, START, STOCK, MOST_VOTES = 1_000, 100.0, 25, 10
+#: Accounts of the bank, start of a balance, units of a product in stock, greatest number of votes, places of a ranking.
+ACCOUNTS, START, STOCK, MOST_VOTES, PLACES = 1_000, 100.0, 100, 10, 10
 #: Line numbers repeat within an order; these columns together order lines without ties.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,49 @@ def bank_parallel_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank(spark, sf_dir, 15_000, how="rounds").final("balances")
 
 
+@registered(f"WITH {bank_ctes(3_000)} {_FINAL}")
+def bank_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger under a pessimistic strategy: transactions that share keys, directly or through others, in order."""
+    return bank(spark, sf_dir, 3_000, config=TxConfig(strategy=PESSIMISTIC)).final("balances")
+
+
+def _cents_sql(accounts: int) -> str:
+    """The bank in whole cents: amounts from 0.01 to 60.00, so that balances meet 0.00 exactly."""
+    transfers = f"""transfers AS (
+  SELECT row_number() OVER (ORDER BY o_orderkey) AS tid, (o_custkey % {accounts})::INTEGER AS a,
+         ((o_custkey + 1 + o_orderkey % ({accounts} - 1)) % {accounts})::INTEGER AS b, (1 + o_orderkey * 7919 % 6000)::BIGINT AS m FROM orders
+), """
+    return transfers + bank_ctes(accounts, first="10000", source="(SELECT * FROM transfers)").replace("ceil(o_totalprice / 10000)::DOUBLE", "m")
+
+
+def _cents(spark: SparkSession, sf_dir: str, how: str, accounts: int = 500) -> DataFrame:
+    rows = read(spark, sf_dir, "orders")
+    rows = generators.transfers(rows, accounts).join(rows.select(F.col("o_orderkey").alias("ord"), ((1 + F.col("o_orderkey") * 7919 % 6000) / 100).alias("cents")), "ord")
+    closed = tgraph.close(bank_stream(tgraph.TGraph(spark), rows.select("ord", "src", "dst", F.col("cents").alias("amount"))), how=how)
+    return closed.versions["balances"].select("key", F.col("version").alias("tid"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
+_CENTS = f"WITH {_cents_sql(500)} SELECT key, tid, value::BIGINT AS cents FROM legs"
+
+
+@registered(_CENTS)
+def bank_cents_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every balance in cents, in order in one task."""
+    return _cents(spark, sf_dir, "serial")
+
+
+@registered(_CENTS)
+def bank_cents_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every balance in cents, in rounds."""
+    return _cents(spark, sf_dir, "rounds")
+
+
+@registered(_CENTS)
+def bank_cents_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every balance in cents, by groups of transactions that share keys."""
+    return _cents(spark, sf_dir, "groups")
+
+
 @registered(f"WITH {bank_ctes()}, f AS ({_FINAL}) SELECT sum(value) AS total, count(*) AS n, sum(value) % 100 = 0 AS consistent FROM f")
 def bank_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = query.predicate(bank(spark, sf_dir).versions["balances"], "balances", query.select_all)
@@ -180,43 +223,50 @@ def aborts_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- purchases
-@registered(f"""WITH p AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS tid, o_custkey AS customer, l_partkey AS product FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY tid) < {STOCK} AS commit FROM p)
-SELECT tid, customer, product, {_VOTE} FROM r""")
+_PURCHASED = f"""p AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS tid, o_custkey AS customer, l_partkey AS product, p_brand AS category
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY tid) < {STOCK} AS commit FROM p)"""
+
+
+@registered(f"WITH {_PURCHASED} SELECT tid, customer, product, {_VOTE} FROM r")
 def purchase_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases through two exits: products by user, and a stock that must not run out."""
     return purchases_closed(spark, sf_dir).results.select("tid", F.col("original.customer").alias("customer"), F.col("original.product").alias("product"), "vote")
 
 
-def purchases_closed(spark: SparkSession, sf_dir: str) -> tgraph.Closed:
+def purchases_closed(spark: SparkSession, sf_dir: str, with_users: bool = True) -> tgraph.Closed:
     rows = generators.purchases(*(read(spark, sf_dir, t) for t in ("lineitem", "orders", "part")))
     opened = tgraph.TGraph(spark).open(rows, LINE_ORDER)
-    by_user = opened.state("products", lambda v: v["customer"].cast("string"), appending("bigint"), lambda v: v["product"])
     stock = opened.state("stock", lambda v: v["product"].cast("string"), additive(float(STOCK), low=0.0, low_open=True), lambda v: F.lit(-1.0))
+    if not with_users:
+        return tgraph.close(stock)
+    by_user = opened.state("products", lambda v: v["customer"].cast("string"), appending("bigint"), lambda v: v["product"])
     return tgraph.close(by_user, stock)
 
 
-@registered(f"""WITH p AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS tid, o_custkey AS customer, l_partkey AS product FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY tid) < {STOCK} AS commit FROM p)
+@registered(f"""WITH {_PURCHASED}
 SELECT customer::VARCHAR AS customer, string_agg(product::VARCHAR, ',' ORDER BY tid) AS products, count(*) AS n FROM r WHERE commit GROUP BY customer""")
 def purchases_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = purchases_closed(spark, sf_dir).final("products")
     return final.select(F.col("key").alias("customer"), F.array_join(F.transform("value", lambda x: x.cast("string")), ",").alias("products"), F.size("value").cast("long").alias("n"))
 
 
-_BOUGHT = "SELECT p_brand AS category, l_partkey AS product, o_custkey AS customer, o_orderdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
+def bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer, product, category of the purchases that committed."""
+    done = purchases_closed(spark, sf_dir, with_users=False).results.where(F.col("vote") == COMMIT)
+    return done.select("original.customer", "original.product", "original.category")
 
 
-@registered(f"SELECT category, product, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, product) AS rank FROM (SELECT category, product, count(*) AS n FROM ({_BOUGHT}) GROUP BY ALL)) WHERE rank <= 10")
+@registered(f"WITH {_PURCHASED} SELECT category, product, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, product) AS rank FROM (SELECT category, product, count(*) AS n FROM r WHERE commit GROUP BY ALL)) WHERE rank <= 10")
 def top10_products_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generators.purchases(*(read(spark, sf_dir, t) for t in ("lineitem", "orders", "part")))
-    return windows.ranked(windows.counts(rows, ["category", "product"]), ["category"], "product", 10).withColumn("rank", F.col("rank").cast("long"))
+    """Of the purchases that the stock allowed."""
+    return windows.ranked(windows.counts(bought(spark, sf_dir), ["category", "product"]), ["category"], "product", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@registered(f"SELECT category, customer, n FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, customer) AS rank FROM (SELECT category, customer, count(*) AS n FROM ({_BOUGHT}) GROUP BY ALL)) WHERE rank = 1")
+@registered(f"WITH {_PURCHASED} SELECT category, customer, n FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, customer) AS rank FROM (SELECT category, customer, count(*) AS n FROM r WHERE commit GROUP BY ALL)) WHERE rank = 1")
 def most_active_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generators.purchases(*(read(spark, sf_dir, t) for t in ("lineitem", "orders", "part")))
-    return windows.ranked(windows.counts(rows, ["category", "customer"]), ["category"], "customer", 1).drop("rank")
+    """Of the purchases that the stock allowed."""
+    return windows.ranked(windows.counts(bought(spark, sf_dir), ["category", "customer"]), ["category"], "customer", 1).drop("rank")
 
 
 # ---------------------------------------------------------------- commands
@@ -245,17 +295,17 @@ def spu_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOUR = "SELECT s AS win_start, s + INTERVAL 2 HOUR AS win_end, event_type AS area, user_id AS participant FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events)"
 _ENDS = f"""c AS (SELECT win_start, win_end, area, participant, count(*) AS n FROM ({_HOUR}) GROUP BY ALL),
 u AS (SELECT *, row_number() OVER (PARTITION BY win_start, area ORDER BY n, participant) AS up, count(*) OVER (PARTITION BY win_start, area) AS size FROM c),
-e AS (SELECT win_start, win_end, area, participant, n, CASE WHEN up <= least(3, size) THEN true WHEN up > CASE WHEN size - least(3, size) >= 3 THEN size - 3 ELSE least(3, size) END THEN false END AS positive FROM u)"""
+e AS (SELECT win_start, win_end, area, participant, n, CASE WHEN up <= least({PLACES}, size) THEN true WHEN up > CASE WHEN size - least({PLACES}, size) >= {PLACES} THEN size - {PLACES} ELSE least({PLACES}, size) END THEN false END AS positive FROM u)"""
 
 
 def vote_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes_ = windows.windowed(generators.votes(read(spark, sf_dir, "events")), "ts", "2 hours", "1 hour")
-    return windows.ends(windows.counts(votes_, ["win_start", "win_end", "area", "participant"]), ["win_start", "area"], "participant", 3)
+    return windows.ends(windows.counts(votes_, ["win_start", "win_end", "area", "participant"]), ["win_start", "area"], "participant", PLACES)
 
 
 @registered(f"WITH {_ENDS} SELECT * FROM e WHERE positive IS NOT NULL")
 def win_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three least and three greatest counts of each sliding window and area."""
+    """The ten least and ten greatest counts of each sliding window and area."""
     return vote_ends(spark, sf_dir)
 
 
@@ -280,10 +330,10 @@ def win_tumbling_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.suppressed(rows, ["win_start", "area"], 2).select("event_id", "win_start", "area", "participant")
 
 
-@registered(f"SELECT win_start, area, participant, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY win_start, area ORDER BY n DESC, participant) AS rank FROM (SELECT win_start, area, participant, count(*) AS n FROM ({_HOUR}) GROUP BY ALL)) WHERE rank <= 3")
+@registered(f"SELECT win_start, area, participant, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY win_start, area ORDER BY n DESC, participant) AS rank FROM (SELECT win_start, area, participant, count(*) AS n FROM ({_HOUR}) GROUP BY ALL)) WHERE rank <= {PLACES}")
 def win_sliding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.windowed(generators.votes(read(spark, sf_dir, "events")), "ts", "2 hours", "1 hour")
-    return windows.ranked(windows.counts(rows, ["win_start", "area", "participant"]), ["win_start", "area"], "participant", 3).withColumn("rank", F.col("rank").cast("long"))
+    return windows.ranked(windows.counts(rows, ["win_start", "area", "participant"]), ["win_start", "area"], "participant", PLACES).withColumn("rank", F.col("rank").cast("long"))
 
 
 @registered(_SPU + "SELECT time_bucket(INTERVAL 1 HOUR, e.ts) AS win_start, count(*) FILTER (o.ok) AS commits, count(*) FILTER (NOT o.ok) AS others FROM o JOIN events e ON o.id = e.event_id GROUP BY 1")
