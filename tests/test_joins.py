@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from txstream.operators import joins
+from txstream.operators.components import components
 
 
 @pytest.mark.parametrize("share", [1, 4, 1_000])
@@ -28,3 +31,13 @@ def test_a_hot_key_is_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_components_of_a_long_chain(spark):
+    r = random.Random(4)
+    ids = list(range(200))
+    r.shuffle(ids)
+    links = [(ids[k], ids[k + 1]) for k in range(len(ids) - 1) if k != 99]
+    found = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {found[x] for x in ids[:100]} == {min(ids[:100])} and {found[x] for x in ids[100:]} == {min(ids[100:])}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -6,7 +6,7 @@ the transaction itself, (tid, 1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import STEP
@@ -42,11 +42,35 @@ def order_key(path: Column | str) -> Column:
     return offsets(path)
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the offsets of two records of one fan-out; paths of other lengths or sizes are an error."""
+    alike = (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: (x["size"] == y["size"]).alias("same")), lambda same: same)
+    x, y = offsets(a), offsets(b)
+    order = F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    return F.when(alike, order).otherwise(F.raise_error(F.lit("paths of different fan-outs don't compare")).cast("int"))
+
+
+def flattened(records: DataFrame, tid: str = "tid", path: str = "path") -> DataFrame:
+    """records with a path of one step behind the transaction's: their place among all of it, and how many they are."""
+    order = Window.partitionBy(tid).orderBy(offsets(path))
+    place, n = F.row_number().over(order), F.count("*").over(Window.partitionBy(tid))
+    return records.withColumn(path, F.array(step(F.col(tid), F.lit(1)), step(place, n)))
+
+
 def complete(records: DataFrame, tid: str = "tid", path: str = "path") -> DataFrame:
-    """tid, complete: whether all leaves of a transaction's tree of records are there.
+    """tid, complete: whether all leaves of a transaction's tree of records are there, told by whole numbers.
 
-    Leaves sum up to the whole: each weighs one over the product of the sizes along its path.
+    Level by level, from the deepest: a parent that has all the children that its size says stands for them.
     """
-    weight = F.aggregate(F.col(path), F.lit(1.0), lambda w, s: w / s["size"])
-    leaves = records.select(F.col(tid), F.col(path), weight.alias("w")).dropDuplicates([tid, path])
-    return leaves.groupBy(tid).agg((F.abs(F.sum("w") - 1.0) < 1e-9).alias("complete"))
+    rows = records.select(F.col(tid), F.col(path).alias("p")).distinct()
+    deepest = rows.agg(F.max(F.size("p"))).first()[0] or 0
+    done = rows.where(F.size("p") == deepest)
+    for level in range(deepest, 0, -1):
+        if level < deepest:
+            done = done.unionByName(rows.where(F.size("p") == level)).distinct()
+        last = F.element_at("p", -1)
+        up = done.select(tid, F.slice("p", 1, level - 1).alias("up"), last["off"].alias("off"), last["size"].alias("size"))
+        # the transaction's own step is (tid, 1): one child
+        whole = up.groupBy(tid, "up").agg(F.count_distinct("off").alias("n"), F.max("size").alias("size")).where("n = size")
+        done = whole.select(tid, F.col("up").alias("p"))
+    return records.select(tid).distinct().join(done.select(tid, F.lit(True).alias("complete")), tid, "left").select(tid, F.coalesce("complete", F.lit(False)).alias("complete"))

@@ -23,3 +23,15 @@ def composed_id(*parts: Column) -> Column:
 def shard_of(namespace: Column) -> Column:
     """The plain namespace of a name with a shard behind a dash."""
     return F.element_at(F.split(namespace, "-"), 1)
+
+
+def close_line(tid: Column, ts: Column, vote: Column, batch_size: Column, deps: Column) -> Column:
+    """A close notification as a line of commas: tid, ts, vote, batch size, and the dependencies joined by ``;``."""
+    return F.concat_ws(",", tid.cast("string"), ts.cast("string"), vote, batch_size.cast("string"), F.array_join(F.transform(deps, lambda d: d.cast("string")), ";"))
+
+
+def close_fields(line: Column) -> Column:
+    """The notification of a line, as ``close_line`` writes it."""
+    parts = F.split(line, ",", -1)
+    deps = F.transform(F.filter(F.split(parts[4], ";"), lambda d: d != ""), lambda d: d.cast("long"))
+    return F.struct(parts[0].cast("long").alias("tid"), parts[1].cast("long").alias("ts"), parts[2].alias("vote"), parts[3].cast("int").alias("batch_size"), deps.alias("deps"))

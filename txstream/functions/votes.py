@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ABORT, COMMIT, RANKS, REPLAY
@@ -27,5 +27,11 @@ def merged(vote: Column | str) -> Column:
     return named(F.max(rank(vote)))
 
 
+def reduced(rows: DataFrame, *by: str) -> DataFrame:
+    """by, vote, cohorts, deps: the merged vote of each group and the unions of its lists, without repetition, in order."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return rows.groupBy(*by).agg(merged("vote").alias("vote"), union("cohorts"), union("deps"))
+
+
 def merge(votes: Iterable[str]) -> str:
     return NAMES[max((RANKS[v] for v in votes), default=0)]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -26,6 +27,61 @@ def vote_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("vote").agg(F.count("*").alias("n"))
 
 
+def latencies(starts: DataFrame, ends: DataFrame, by: str = "id", ts: str = "ts") -> DataFrame:
+    """id, seconds between the first start and the last end of what has both."""
+    first, last = starts.groupBy(by).agg(F.min(ts).alias("__from")), ends.groupBy(by).agg(F.max(ts).alias("__to"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return first.join(last, by).select(by, ((micros("__to") - micros("__from")) / 1e6).alias("seconds"))
+
+
+def tracked(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows as they are, and their ids aside, for trackers."""
+    return rows, rows.select(F.col(by).alias("id"))
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """commits, aborts, replays and closed of a graph's results; transactions that run in order are never replayed."""
+    n = lambda vote: F.count_if(F.col("vote") == vote)
+    return results.agg(n("COMMIT").alias("commits"), n("ABORT").alias("aborts"), n("REPLAY").alias("replays"), F.count("*").alias("closed"))
+
+
+def observed(rows: DataFrame, **values: Column) -> tuple[DataFrame, Observation]:
+    """rows with accumulators beside them: after an action the observation has their values, and no pass is added."""
+    seen = Observation(f"accumulators {uuid.uuid4().hex}")
+    return rows.observe(seen, *[v.alias(n) for n, v in values.items()]), seen
+
+
+def finish_on_count(rows: DataFrame, n: int, severe: bool = True) -> bool:
+    """Whether there are ``n`` rows; more are an error unless ``severe`` is off. No more than n + 1 are counted."""
+    found = rows.limit(n + 1).count()
+    if found > n and severe:
+        raise ValueError(f"more than {n} rows")
+    return found >= n
+
+
+@dataclass
+class TimeDelta:
+    """Times between the start and the end of ids, and their curve in the order of ends."""
+
+    started: dict[object, float] = field(default_factory=dict)
+    curve: list[float] = field(default_factory=list)
+
+    def start(self, key: object, now: float) -> None:
+        self.started.setdefault(key, now)
+
+    def end(self, key: object, now: float) -> float | None:
+        """Seconds since the start of ``key``; None for one that hasn't started or has ended before."""
+        since = self.started.pop(key, None)
+        if since is not None:
+            self.curve.append(now - since)
+            return now - since
+        return None
+
+    @property
+    def mean(self) -> float:
+        return sum(self.curve) / len(self.curve) if self.curve else 0.0
+
+
 @dataclass
 class Throughput:
     """Records a second over buckets of at least ``bucket`` seconds, after the first ``warm_up`` records."""

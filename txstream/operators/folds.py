@@ -38,3 +38,13 @@ def folded(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], first:
 
     return given.mapInArrow(run, out)
 
+
+
+def co_mapped(first: DataFrame, second: DataFrame, by: tuple[str, ...], order: str, start: Any, value_type: str, steps: tuple[Callable, Callable], keep: str) -> DataFrame:
+    """``by``, ``keep``, side, ok, value: two inputs that share a value for each key, taken together in ``order``.
+
+    ``steps`` are those of the first and of the second input. Rows of both at one place in the order: the first's come first.
+    """
+    sides = [d.withColumn("side", F.lit(k)) for k, d in enumerate((first, second))]
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    return folded(both, by, (order, "side"), F.lit(start), value_type, lambda value, row: steps[row["side"]](value, row), (keep, "side"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,26 @@ def random_supplier(ns: str, keyspace: int, mean: float, deviation: float, seed:
         n += 1
 
 
+def every(supplier: Iterator, seconds: float, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Iterator:
+    """A query each ``seconds``, as far as the supplier and whoever takes them keep up."""
+    due = clock()
+    for query in supplier:
+        wait = due - clock()
+        if wait > 0:
+            sleep(wait)
+        due = max(due, clock()) + seconds
+        yield query
+
+
+def visited(results: DataFrame, visitor: Callable[[str, str, dict], None]) -> int:
+    """Give each merged result (query_id, ns, result) to a callback on the driver, one at a time; the number of them."""
+    n = 0
+    for row in results.select("query_id", "ns", "result").toLocalIterator():
+        visitor(row.query_id, row.ns, row.result)
+        n += 1
+    return n
+
+
 def limited(supplier: Iterator, n: int) -> Iterator:
     for _, query in zip(range(n), supplier):
         yield query

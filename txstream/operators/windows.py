@@ -49,3 +49,17 @@ def outcomes(rows: DataFrame, by: list[str], vote: str = "vote") -> DataFrame:
 
 def firsts(rows: DataFrame, by: list[str], order: Column, value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.min_by(value, order).alias(value))
+
+
+def skipped(rows: DataFrame, order_by: list[str], n: int) -> DataFrame:
+    """All but the first ``n`` rows of an order, which tells apart all rows."""
+    from .tgraph import numbered
+
+    return numbered(rows, order_by).where(F.col("tid") > n).drop("tid")
+
+
+def delayed(rows: DataFrame, by: str, ts: str, step: str) -> DataFrame:
+    """rows with release_at: groups of one time spread out, each by one more ``step`` in the order of their names."""
+    names = rows.select(by).distinct()
+    places = names.withColumn("__place", F.row_number().over(Window.orderBy(by)) - 1)  # a row for each name
+    return rows.join(places, by).withColumn("release_at", F.col(ts) + F.expr(f"INTERVAL {step}") * F.col("__place")).drop("__place")

@@ -77,8 +77,54 @@ def rate_stream(spark: SparkSession, per_second: int) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
 
 
+def tunable_transfers(spark: SparkSession, per_second: int, keyspace: int, start: float = START) -> DataFrame:
+    """A stream of transfers at a rate: ids of the rate source, mapped to accounts and amounts by hash."""
+    return transfers_of_ids(rate_stream(spark, per_second).select(F.col("value").alias("ord")), keyspace, start)
+
+
+def transfers_of_ids(ids: DataFrame, keyspace: int, start: float = START) -> DataFrame:
+    """ord, src, dst, amount of each id (ord): accounts that differ, and a whole amount up to ``start``, by hash."""
+    part = lambda k, n: F.pmod(F.xxhash64("ord", F.lit(k)), F.lit(n).cast("long"))
+    rows = ids.select("ord", part(0, keyspace).alias("s"), part(1, keyspace - 1).alias("d"), (part(2, int(start)) + 1).cast("double").alias("amount"))
+    return rows.select("ord", account(F.col("s")).alias("src"), account(F.when(F.col("d") >= F.col("s"), F.col("d") + 1).otherwise(F.col("d"))).alias("dst"), "amount")
+
+
+def tunable_queries(spark: SparkSession, per_second: int, keyspace: int, keys: int, ns: str = "balances") -> DataFrame:
+    """A stream of queries (query_id, ns, keys) at a rate."""
+    return queries_of_ids(rate_stream(spark, per_second).select(F.col("value").alias("n")), keyspace, keys, ns)
+
+
+def queries_of_ids(ids: DataFrame, keyspace: int, keys: int, ns: str = "balances") -> DataFrame:
+    """query_id, ns and up to ``keys`` distinct keys of each id (n), by hash."""
+    drawn = [account(F.pmod(F.xxhash64("n", F.lit(k)), F.lit(keyspace).cast("long"))) for k in range(keys)]
+    return ids.select(composed_id(F.lit(0), F.col("n")).alias("query_id"), F.lit(ns).alias("ns"), F.array_distinct(F.array(*drawn)).alias("keys"))
+
+
 def socket_queries(spark: SparkSession, host: str, port: int) -> DataFrame:
     """A stream of query lines ``ns key key ...`` from a socket."""
     lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
     parts = F.split("value", " +")
     return lines.select(parts[0].alias("ns"), F.slice(parts, 2, F.size(parts)).alias("keys"))
+
+
+# ---------------------------------------------------------------- load
+def primes(n: Column) -> Column:
+    """How many primes there are up to n: a heavy computation that stays an expression."""
+    divides = lambda k: F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(F.sqrt(k)).cast("int"))), lambda d: (d < k) & (k % d == 0))
+    return F.when(n >= 2, F.size(F.filter(F.sequence(F.lit(2), n.cast("int")), lambda k: ~divides(k)))).otherwise(0)
+
+
+def busy_wait(micros: int):
+    """A Pandas UDF that passes a column on and keeps a core busy for so long a row; for load tests."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def wait(column: pd.Series) -> pd.Series:
+        import time
+
+        end = time.perf_counter() + len(column) * micros / 1e6
+        while time.perf_counter() < end:
+            pass
+        return column.astype("float64")
+
+    return wait
