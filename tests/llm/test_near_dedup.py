@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from txstream.llm import components, near_dedup, queries
+from txstream.llm import near_dedup, queries
 from txstream.llm.common import table
 
 from .conftest import SCHEMA, prose
@@ -150,13 +150,3 @@ def test_minima_estimate_similarity():
     words = [f"x{k}".encode() for k in range(2_400)]
     a, b = (near_dedup.minima(near_dedup.shingle_set(b" ".join(w), 1)) for w in (words[:1_800], words[600:]))
     assert abs((a == b).mean() - 0.5) < 0.15
-
-
-def test_components_of_a_long_chain(spark):
-    r = random.Random(4)
-    ids = list(range(300))
-    r.shuffle(ids)
-    links = [(ids[k], ids[k + 1]) for k in range(len(ids) - 1) if k != 99]
-    found = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert {found[x] for x in ids[:100]} == {min(ids[:100])} and {found[x] for x in ids[100:]} == {min(ids[100:])}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -39,9 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..operators.joins import looked_up
 from .common import WordHash, released, stored, texts, windows
-from .components import components
 
 HASHES, ROWS, BANDS = 128, 4, 24
 BATCH, MISS = 16, 1e-6
