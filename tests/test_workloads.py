@@ -1,9 +1,10 @@
 import pytest
 
-from txstream.plans import streams, workloads
+from txstream.plans import dataflow, streams, workloads
 
 from .compare import same
 
+assert dataflow.NAMES
 FOUND, SQL = workloads.QUERIES | streams.QUERIES, workloads.ORACLE_SQL | streams.ORACLE_SQL
 
 
