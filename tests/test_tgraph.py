@@ -77,10 +77,24 @@ def test_numbers_follow_the_order_over_many_partitions(spark):
     assert tgraph.numbered(rows.where("x < 0"), ["x"]).count() == 0
 
 
-def test_settings():
+def test_settings(spark):
     assert TxConfig(isolation=Isolation.PL0, strategy=PESSIMISTIC).strategy == OPTIMISTIC
-    assert TxConfig(isolation=Isolation.PL4, parallelism=8).open_parallelism == 1
     assert TxConfig(parallelism=8).open_parallelism == 8 and TxConfig(parallelism=0).open_parallelism is None
-    assert not TxConfig(isolation=Isolation.PL1).reads_committed
     with pytest.raises(ValueError):
         TxConfig(strategy="NONE")
+    for level in (Isolation.PL0, Isolation.PL4):  # numbering is total with any number of tasks
+        assert [t for t, _, _ in listed(opened(spark, range(5), isolation=level, parallelism=3))] == [1, 2, 3, 4, 5]
+
+
+def test_reading_what_a_graph_closed(spark):
+    closed = tgraph.close(opened(spark, [5, 7, 5]).state("a", lambda v: F.lit("x"), additive(20.0), lambda v: -v["n"].cast("double")))
+    assert [closed.read("a", w).first()["value"] for w in (1, 2, 3)] == [15.0, 8.0, 3.0]
+    assert closed.read("a").first()["version"] == 3
+
+
+def test_graphs_and_records_tell_themselves_apart(spark):
+    one, two = opened(spark, [1]), opened(spark, [1, 2])
+    assert one.graph_id != two.graph_id
+    assert [(r.tid, r.vote) for r in two.metadata.orderBy("tid").collect()] == [(1, "COMMIT"), (2, "COMMIT")]
+    keyed = opened(spark, [4, 4, None]).map(lambda v: v["n"]).key_by(lambda v: v)
+    assert sorted((r.tid, r.value) for r in keyed.df.collect()) == [(1, 4), (2, 4), (3, None)]

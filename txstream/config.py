@@ -21,18 +21,20 @@ OPTIMISTIC, PESSIMISTIC = "OPTIMISTIC", "PESSIMISTIC"
 
 @dataclass(frozen=True)
 class TxConfig:
+    #: The weakest state that queries may read (``store.as_of``).
     isolation: Isolation = Isolation.PL3
+    #: Optimistic: in order up to ``serial_limit``, in rounds beyond. Pessimistic: in the order of keys' lock queues.
     strategy: str = OPTIMISTIC
-    synchronous: bool = False
-    dependency_tracking: bool = True
+    #: Whether streaming graphs log what they close.
     durable: bool = False
+    #: Whether results that ask for a replay are given on, as a baseline without transactions would.
     baseline: bool = False
+    #: Versions of a key that a streaming graph's bases keep (None: the last).
     max_versions: int | None = None
+    #: Tasks that number and admit transactions (None or 0: as Spark deals them); numbering is total with any of them.
     parallelism: int | None = None
-    #: Transactions up to which one task runs a ledger in order; larger ones run as parallel rounds.
+    #: Operations up to which one task runs a ledger, or what is left of it, in order.
     serial_limit: int = 1_000_000
-    #: Rounds after which what is still open of a parallel ledger is run in order.
-    max_rounds: int = 40
 
     def __post_init__(self) -> None:
         if self.strategy not in (OPTIMISTIC, PESSIMISTIC):
@@ -45,15 +47,8 @@ class TxConfig:
 
     @property
     def open_parallelism(self) -> int | None:
-        """Tasks that admit transactions: one where the order must be total, else as configured (None: as the input)."""
-        if self.isolation == Isolation.PL4:
-            return 1
         return self.parallelism if self.parallelism and self.parallelism > 0 else None
 
-    @property
-    def reads_committed(self) -> bool:
-        return self.isolation >= Isolation.PL2
-
 
 #: The isolation levels and strategies of a sweep.
 SWEEP = [(OPTIMISTIC, level) for level in (Isolation.PL2, Isolation.PL3, Isolation.PL4)] + [(PESSIMISTIC, level) for level in (Isolation.PL3, Isolation.PL4)]

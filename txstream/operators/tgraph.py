@@ -7,6 +7,7 @@ for each transaction. Everything up to ``close`` is a lazy DataFrame.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,15 +20,16 @@ from ..schemas import ABORT, COMMIT, REPLAY
 from ..sources.shared import stored
 from . import ledger
 from .statefn import StateFunction
+from .store import as_of
 
 
-def numbered(rows: DataFrame, order_by: list[str], first: int = 1) -> DataFrame:
+def numbered(rows: DataFrame, order_by: list[str], first: int = 1, parallelism: int | None = None) -> DataFrame:
     """rows with ``tid``: 1, 2, ... in the order of ``order_by``, without sorting all rows in one task.
 
     Rows are sorted in ranges and written; each range numbers its own rows, and the ranges' sizes (one row each) sum up
     to offsets.
     """
-    ranged = rows.repartitionByRange(*order_by).withColumn("__range", F.spark_partition_id())
+    ranged = (rows.repartitionByRange(parallelism, *order_by) if parallelism else rows.repartitionByRange(*order_by)).withColumn("__range", F.spark_partition_id())
     ranged = stored(ranged, "ranges")  # written, so that later reads see the same ranges
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order_by))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
@@ -36,10 +38,15 @@ def numbered(rows: DataFrame, order_by: list[str], first: int = 1) -> DataFrame:
     return ranged.withColumn("__own", own).join(F.broadcast(offsets), "__range").withColumn("tid", F.col("__own") + F.col("__offset") + (first - 1)).drop("__own", "__range", "__offset")
 
 
+_ids = itertools.count(1)
+
+
 @dataclass
 class TGraph:
     spark: SparkSession
     config: TxConfig = field(default_factory=TxConfig)
+    #: Tells the graphs of a job apart.
+    id: int = field(default_factory=lambda: next(_ids))
 
     def open(self, rows: DataFrame, order_by: list[str] | None = None, tid: str | None = None, done: DataFrame | None = None) -> "TStream":
         """Admit each row as a transaction, numbered in the order of ``order_by``, or named by the column ``tid``.
@@ -47,7 +54,7 @@ class TGraph:
         ``done``: (tid) of transactions in a log, which are skipped.
         """
         if tid is None:
-            rows, tid = numbered(rows, order_by or rows.columns), "tid"
+            rows, tid = numbered(rows, order_by or rows.columns, parallelism=self.config.open_parallelism), "tid"
         columns = [c for c in rows.columns if c != "tid"]
         opened = rows.select(F.col(tid).cast("long").alias("tid"), F.struct(*columns).alias("value"))
         if done is not None:
@@ -110,6 +117,10 @@ class TStream:
     def metadata(self) -> DataFrame:
         return self.df.select("tid", "path", "vote")
 
+    @property
+    def graph_id(self) -> int:
+        return self.graph.id
+
 
 @dataclass
 class Closed:
@@ -118,6 +129,11 @@ class Closed:
     results: DataFrame
     versions: dict[str, DataFrame]
     outcomes: dict[str, ledger.Outcome]
+    config: TxConfig = field(default_factory=TxConfig)
+
+    def read(self, namespace: str, watermark: int | None = None) -> DataFrame:
+        """ns, key, version, value as of a watermark, at the graph's isolation level."""
+        return as_of(self.versions[namespace], watermark, self.config.isolation)
 
     def final(self, namespace: str) -> DataFrame:
         """key, value: the last committed value of each touched key."""
@@ -189,7 +205,7 @@ def close(*exits: TStream, start: dict[str, DataFrame] | None = None, how: str =
         results = results.withColumn("updates", F.lit(None).cast("array<struct<ns:string,key:string,value:string>>"))
     none = F.array().cast("array<struct<ns:string,key:string,value:string>>")
     results = results.select("tid", F.col("tid").alias("ts"), "original", "vote", F.when(F.col("vote") == ABORT, none).otherwise(F.coalesce("updates", none)).alias("updates"))
-    return Closed(results, versions, outcomes)
+    return Closed(results, versions, outcomes, graph.config)
 
 
 def series(graph: TGraph, first: TStream, build: list[Callable[[TStream], TStream]]) -> list[Closed]:

@@ -479,8 +479,7 @@ def lock_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- log and versions
 def _log_entries(closed: tgraph.Closed) -> DataFrame:
-    rows = F.transform("updates", lambda u: F.struct(F.concat(u["ns"], F.lit("-0")).alias("ns"), u["key"].alias("key"), u["value"].cast("double").alias("value")))
-    return closed.results.select("vote", "tid", "ts", (F.col("tid") % 4).cast("int").alias("source"), rows.alias("updates"))
+    return wal.entries_of(closed.results, 4)
 
 
 @registered(f"WITH {bank_ctes()}, h AS (SELECT max(tid) // 3 AS w FROM transfers) SELECT t.tid, 'a' || a AS src FROM transfers t, h WHERE NOT EXISTS (SELECT 1 FROM voted v WHERE v.tid = t.tid AND v.tid <= w)")

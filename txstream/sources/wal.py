@@ -42,6 +42,12 @@ class Log:
         return self._batches.fold(lambda rows: rows.where(F.col("ts") > watermark), *map(str, batch))
 
 
+def entries_of(results: DataFrame, sources: int = 1) -> DataFrame:
+    """The entries of a graph's results: vote, tid, ts, source (by tid), updates of the namespaces' shard 0."""
+    rows = F.transform("updates", lambda u: F.struct(F.concat(u["ns"], F.lit("-0")).alias("ns"), u["key"].alias("key"), u["value"].cast("double").alias("value")))
+    return results.select("vote", "tid", "ts", F.pmod("tid", F.lit(sources)).cast("int").alias("source"), rows.alias("updates"))
+
+
 def replay(entries: DataFrame, namespace: str | None = "*", source: int | None = None) -> DataFrame:
     rows = entries.where(F.col("vote") == COMMIT)
     if source is not None:
