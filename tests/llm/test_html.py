@@ -132,6 +132,36 @@ def test_repetition_decides_on_pages_with_articles_too(spark):
         assert (found[k].n_repeated, found[k].repeated_tokens) == (1, 10 + 1)  # the menu, its boundary and the next one
 
 
+def test_repetition_alone_finds_articles_without_their_marks(spark):
+    """The same pages with nothing that names the article: quotations in it stay, as most of its region is its own."""
+    from pyspark.sql import functions as F
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    marked = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    plain = {r.page_id: r for r in html_extract.extract(pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))).collect()}
+    other = [k for k, r in plain.items() if r.text != marked[k]]
+    # a host of three pages has the title of two as the advertisement of the third
+    assert len(other) <= 2 and all(len(plain[k].text) > 0.9 * len(marked[k]) for k in other)
+
+
+def test_quotations_stay_in_a_region_of_own_text(spark):
+    menu, passage, share = own_words("m", 9), own_words("q", 30), own_words("s", 10)
+    rows = []
+    for k in range(8):
+        quoted = f"<p>{passage}</p>" if k < 4 else ""
+        rows.append((k, f"http://h.example/{k}", f"<body><ul><li>{menu}</ul><div><p>{own_words(f'o{k}', 80)}</p>{quoted}<p>{share}</p></div>"))
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {k: own_words(f"o{k}", 80) + (f"\n\n{passage}" if k < 4 else "") for k in range(8)}
+
+
+def test_regions():
+    page = "<body><div>a<ul><li>b<li>c</ul>d</div><p>e</p></section><table><tr><td>f</table>g"
+    found = markup.placed(page)
+    assert [t for _, t, _ in found] == list("abcdefg")
+    by = {t: r for _, t, r in found}
+    assert by["a"] == by["d"] and by["b"] == by["c"] and by["e"] == by["g"] and len(set(by.values())) == 4
+
+
 def own_words(name, n):
     return " ".join(f"{name}x{j}" for j in range(n))
 

@@ -27,6 +27,8 @@ _BLOCKS = set(
 )
 _RAW = set("iframe noembed noframes noscript script style textarea title xmp".split())
 _ASIDE = set("aside button canvas datalist dialog footer form head menu nav object select svg template".split())
+#: Elements that hold several blocks: a region of the page each.
+_BOXES = set("article aside blockquote body details dialog div dl fieldset footer form header main menu nav ol section table td th ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = set(
@@ -57,7 +59,15 @@ def _role(name: str, attributes: str, within: int) -> int:
 
 def blocks(html: str) -> list[tuple[int, str]]:
     """(place, text) of each block that has text: references decoded, white space made single spaces, trimmed."""
-    out: list[tuple[int, str]] = []
+    return [(place, text) for place, text, _ in placed(html)]
+
+
+def placed(html: str) -> list[tuple[int, str, int]]:
+    """The blocks with the number of the region, the innermost open box, that each stands in."""
+    out: list[tuple[int, str, int]] = []
+    boxes: list[tuple[str, int]] = [("", 0)]
+    boxed: dict[str, int] = {}
+    n_boxes = 0
     held: list[str] = []
     open_: list[list] = []  # elements that change the place: name, place before, open elements of that name within
     place, at, end = FREE, 0, len(html)
@@ -67,7 +77,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
         text = " ".join((unescape(text) if "&" in text else text).split())
         held.clear()
         if text:
-            out.append((place, text))
+            out.append((place, text, boxes[-1][1]))
 
     named: dict[str, int] = {}  # open_'s names, and how often
 
@@ -113,6 +123,10 @@ def blocks(html: str) -> list[tuple[int, str]]:
                     place = pop(len(open_) - 1)
             if name == "body" and open_ and open_[-1][0] == "head":
                 place = pop(len(open_) - 1)
+            if name in _BOXES:
+                n_boxes += 1
+                boxes.append((name, n_boxes))
+                boxed[name] = boxed.get(name, 0) + 1
             new = _role(name, attributes, place)
             if new != place:
                 flush()
@@ -127,6 +141,11 @@ def blocks(html: str) -> list[tuple[int, str]]:
             name = closing.lower()
             if name in _BLOCKS:
                 flush()
+            while boxed.get(name):
+                gone = boxes.pop()[0]
+                boxed[gone] -= 1
+                if gone == name:
+                    break
             for k in range(len(open_) - 1, -1, -1) if name in named else ():
                 if open_[k][0] == name:
                     if k == len(open_) - 1 and open_[k][2]:
