@@ -70,3 +70,28 @@ def test_tokens_are_ascii_words(spark):
     assert [r.w for r in rows.select(text.tokens(F.col("line")).alias("w")).collect()] == [["to", "be", "or", "not", "to", "be_2", "t"], None, [], []]
     assert text.words(rows, "line").count() == 7
     assert rows.select(text.shard_of(F.lit("balances-3")).alias("s")).first()["s"] == "balances"
+
+
+def test_paths_of_one_fan_out_compare(spark):
+    rows = spark.createDataFrame([([(1, 1), (1, 3)], [(1, 1), (2, 3)])], f"a {PATH}, b {PATH}")
+    a, b = F.col("a"), F.col("b")
+    assert tuple(rows.select(paths.compare(a, b), paths.compare(b, a), paths.compare(a, a)).first()) == (-1, 1, 0)
+    other = spark.createDataFrame([([(1, 1), (1, 3)], [(1, 1), (2, 4)])], f"a {PATH}, b {PATH}")
+    with pytest.raises(Exception, match="different fan-outs"):
+        other.select(paths.compare(a, b)).collect()
+
+
+def test_completeness_is_exact(spark):
+    """A leaf of a weight that no float sum would miss."""
+    leaves = [[(7, 1), (1, 2)]] + [[(7, 1), (2, 2), *[(1, 1_000_000)] * 3, (1, 1)]]
+    rows = spark.createDataFrame([(7, p) for p in leaves], f"tid long, path {PATH}")
+    assert not paths.complete(rows).first()["complete"]
+    assert paths.complete(rows.limit(0)).count() == 0
+
+
+def test_polling_takes_the_contiguous_front(spark):
+    rows = spark.createDataFrame([(x,) for x in (18, 50, 20, 21, 19, 51, 52, 17, 3)], "ts long")
+    taken, rest = timestamps.polled(rows, 17)
+    assert sorted(r.ts for r in taken.collect()) == [18, 19, 20, 21] and sorted(r.ts for r in rest.collect()) == [3, 17, 50, 51, 52]
+    closes = spark.createDataFrame([(1, COMMIT), (2, ABORT), (3, REPLAY), (4, COMMIT)], "tid long, vote string")
+    assert timestamps.closed_high(closes).first()["watermark"] == 2

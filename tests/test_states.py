@@ -110,3 +110,87 @@ def test_metrics(tmp_path):
     r = metrics.Report("run")
     r.put("commits", 3)
     assert json.load(open(r.write(str(tmp_path))))["metrics"] == {"commits": 3}
+
+
+def test_counts_latencies_and_accumulators(spark):
+    rows = spark.range(10).select("id", (F.col("id") * 60).alias("s"))
+    assert metrics.finish_on_count(rows, 10) and not metrics.finish_on_count(rows, 11) and metrics.finish_on_count(rows, 9, severe=False)
+    with pytest.raises(ValueError):
+        metrics.finish_on_count(rows, 9)
+    timed = rows.select("id", F.timestamp_seconds("s").alias("ts"))
+    ends = timed.where("id < 3").select("id", (F.col("ts") + F.expr("INTERVAL 1500 MILLISECONDS")).alias("ts"))
+    assert {r.id: r.seconds for r in metrics.latencies(timed, ends).collect()} == {0: 1.5, 1: 1.5, 2: 1.5}
+    delta = metrics.TimeDelta()
+    for key, start, end in (("a", 1.0, 2.0), ("b", 1.0, 4.0)):
+        delta.start(key, start)
+        delta.end(key, end)
+    assert delta.end("a", 9.0) is None and delta.curve == [1.0, 3.0] and delta.mean == 2.0
+    seen, counts = metrics.observed(rows, n=F.count("*"), most=F.max("id"))
+    seen.write.format("noop").mode("overwrite").save()
+    assert counts.get == {"n": 10, "most": 9}
+    kept, ids = metrics.tracked(rows, "id")
+    assert kept is rows and ids.count() == 10
+
+
+def test_queries_by_time_and_visitors(spark):
+    slept, now = [], [0.0]
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    drawn = list(query.limited(query.every(query.random_supplier("b", 9, 2, 1), 0.5, sleep, lambda: now[0]), 4))
+    assert len(drawn) == 4 and slept == [0.5] * 3
+    results = spark.createDataFrame([("q", "b", {"x": 1.0})], "query_id string, ns string, result map<string,double>")
+    found = []
+    assert query.visited(results, lambda *x: found.append(x)) == 1 and found == [("q", "b", {"x": 1.0})]
+
+
+def test_lookups_have_defaults(spark, table):
+    ops = spark.createDataFrame([("b", "x"), ("b", "q")], "ns string, key string")
+    assert {r.key: r.value for r in store.lookup(ops, store.as_of(table), 100.0).collect()} == {"x": 8.0, "q": 100.0}
+
+
+def test_inputs_from_rates(spark):
+    rows = generators.transfers_of_ids(spark.range(500).select(F.col("id").alias("ord")), 7).collect()
+    assert all(r.src != r.dst and 1 <= r.amount <= 100 for r in rows) and len({r.src for r in rows} | {r.dst for r in rows}) == 7
+    asked = generators.queries_of_ids(spark.range(50).select(F.col("id").alias("n")), 9, 3).collect()
+    assert all(1 <= len(set(r["keys"])) == len(r["keys"]) <= 3 for r in asked)
+    assert generators.tunable_transfers(spark, 5, 7).isStreaming and generators.tunable_queries(spark, 5, 7, 2).isStreaming
+
+
+def test_load_functions(spark):
+    found = spark.range(31).select(generators.primes(F.col("id")).alias("n")).collect()
+    assert [found[k].n for k in (0, 1, 2, 3, 4, 10, 30)] == [0, 0, 1, 2, 2, 4, 10]
+    assert metrics.timed(lambda: spark.range(2_000).coalesce(1).select(generators.busy_wait(100)("id")).collect()) > 0.2
+
+
+def test_queries_from_a_socket(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b"balances a1 a2\nvotes p7\n")
+        done.wait(30)
+        peer.close()
+
+    done = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    stream = generators.socket_queries(spark, "127.0.0.1", server.getsockname()[1])
+    seen = []
+    running = stream.writeStream.foreachBatch(lambda rows, _: seen.extend((r.ns, r["keys"]) for r in rows.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
+    for _ in range(100):
+        if len(seen) == 2:
+            break
+        __import__("time").sleep(0.2)
+    running.stop()
+    done.set()
+    assert sorted(seen) == [("balances", ["a1", "a2"]), ("votes", ["p7"])]
+
+
+def test_timed_appends(spark, tmp_path):
+    log = wal.Log(spark, f"file://{tmp_path}/timed")
+    assert wal.time_appends(log, 2, 10) > 0 and log.entries().count() == 20

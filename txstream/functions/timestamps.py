@@ -37,3 +37,16 @@ def contiguous_high(rows: DataFrame, after: int, ts: str = "ts", by: tuple[str,
     """by, watermark: the last timestamp of the run that begins right after ``after``; ``after`` itself if none does."""
     found = islands(rows.where(F.col(ts) > after), ts, by)
     return found.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("low") == after + 1, F.col("high"))), F.lit(after)).alias("watermark"))
+
+
+def polled(rows: DataFrame, after: int, ts: str = "ts", by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows of the contiguous run right after ``after``, and the rows that are left: those behind a gap, or before."""
+    high = contiguous_high(rows, after, ts, by).withColumnRenamed("watermark", "__high")
+    marked = rows.join(high, list(by), "left") if by else rows.join(F.broadcast(high), how="left")  # one row without keys
+    inside = F.coalesce((F.col(ts) > after) & (F.col(ts) <= F.col("__high")), F.lit(False))
+    return marked.where(inside).drop("__high"), marked.where(~inside).drop("__high")
+
+
+def closed_high(closes: DataFrame, after: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, watermark: the last transaction up to which all have closed; one that asks for a replay (tid, vote) hasn't."""
+    return contiguous_high(closes.where(F.col("vote") != "REPLAY"), after, "tid", by)

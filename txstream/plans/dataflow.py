@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import metrics
 from ..config import SWEEP, TxConfig
-from ..functions import paths, text, votes
+from ..functions import paths, text, timestamps, votes
 from ..operators import folds, ledger, query, routing, sequence, store, tgraph, windows
 from ..operators.statefn import additive
 from ..schemas import ABORT, COMMIT, REPLAY
@@ -114,6 +114,35 @@ def delayed_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.delayed(counted, "area", "win_end", "10 seconds")
 
 
+@registered("""WITH c AS (SELECT dense_rank() OVER (ORDER BY l_orderkey) AS tid, l_linenumber % 2 AS source, CASE WHEN l_orderkey % 4999 = 3 THEN 'REPLAY' ELSE 'COMMIT' END AS vote FROM lineitem),
+d AS (SELECT DISTINCT source, tid FROM c WHERE vote <> 'REPLAY'), r AS (SELECT source, tid, tid - row_number() OVER (PARTITION BY source ORDER BY tid) AS g FROM d)
+SELECT source, coalesce(max(tid) FILTER (g = 0), 0) AS watermark FROM r GROUP BY source""")
+def closed_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source, the transaction up to which all have closed; those to be replayed haven't."""
+    rows = read(spark, sf_dir, "lineitem")
+    ids = tgraph.numbered(rows.select("l_orderkey").distinct(), ["l_orderkey"])
+    vote = F.when(F.col("l_orderkey") % 4999 == 3, REPLAY).otherwise(COMMIT)
+    closes = rows.join(ids, "l_orderkey").select("tid", (F.col("l_linenumber") % 2).cast("long").alias("source"), vote.alias("vote"))
+    return timestamps.closed_high(closes, 0, ("source",))
+
+
+@registered("""WITH d AS (SELECT event_type AS key, event_id AS ts, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM (SELECT DISTINCT event_type, event_id // 4 AS event_id FROM events) WHERE event_id > 100),
+w AS (SELECT key, coalesce(max(ts) FILTER (g = 100), 100) AS high FROM d GROUP BY key)
+SELECT event_id, event_type AS key FROM events e JOIN w ON e.event_type = w.key WHERE event_id // 4 > 100 AND event_id // 4 <= high""")
+def poll_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken from the front of each type's queue as far as their numbers, in fours, are contiguous."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), F.floor(F.col("event_id") / 4).alias("ts"))
+    return timestamps.polled(rows, 100, by=("key",))[0].select("event_id", "key")
+
+
+@registered(f"SELECT tid, CASE WHEN n > 1 THEN -1 ELSE 0 END AS forward, CASE WHEN n > 1 THEN 1 ELSE 0 END AS backward FROM (SELECT {_LINES} AS tid, 1 + l_quantity::BIGINT % 3 AS n FROM lineitem)")
+def path_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last record of each fan-out, compared by their paths."""
+    fanned = lines(spark, sf_dir, "l_quantity").flat_map(lambda v: F.sequence(F.lit(0).cast("long"), v["l_quantity"].cast("long") % 3)).df
+    ends = fanned.groupBy("tid").agg(F.min_by("path", paths.order_key("path")).alias("a"), F.max_by("path", paths.order_key("path")).alias("b"))
+    return ends.select("tid", paths.compare(F.col("a"), F.col("b")).alias("forward"), paths.compare(F.col("b"), F.col("a")).alias("backward"))
+
+
 # ---------------------------------------------------------------- votes and codecs
 _REDUCED = """SELECT l_orderkey AS tid, CASE max(CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) WHEN 0 THEN 'COMMIT' WHEN 1 THEN 'ABORT' ELSE 'REPLAY' END AS vote,
 list_sort(list(DISTINCT l_suppkey)) AS cohorts, list_sort(list(DISTINCT l_partkey % 5)) AS deps FROM lineitem GROUP BY 1"""

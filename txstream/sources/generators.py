@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,12 +119,9 @@ def primes(n: Column) -> Column:
 
 def busy_wait(micros: int):
     """A Pandas UDF that passes a column on and keeps a core busy for so long a row; for load tests."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def wait(column: pd.Series) -> pd.Series:
-        import time
-
         end = time.perf_counter() + len(column) * micros / 1e6
         while time.perf_counter() < end:
             pass

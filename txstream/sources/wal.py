@@ -5,6 +5,8 @@ A batch is written once: committing it again changes nothing. Entries: vote, tid
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,11 @@ def filler(spark: SparkSession, n: int, keys: int = 100) -> DataFrame:
     """n committed entries for recovery tests: ts k writes key a<k mod keys>."""
     one = F.struct(F.lit("balances").alias("ns"), F.concat(F.lit("a"), (F.col("id") % keys).cast("string")).alias("key"), F.col("id").cast("double").alias("value"))
     return spark.range(n).select(F.lit(COMMIT).alias("vote"), F.col("id").alias("tid"), F.col("id").alias("ts"), F.lit(0).alias("source"), F.array(one).alias("updates"))
+
+
+def time_appends(log: Log, batches: int, entries: int) -> float:
+    """Seconds a batch of so many entries takes to be logged, in the mean."""
+    began = time.perf_counter()
+    for k in range(batches):
+        log.append(f"timed-{k}", filler(log.spark, entries))
+    return (time.perf_counter() - began) / max(1, batches)
