@@ -1,16 +1,17 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from txstream.operators import joins
-from txstream.operators.components import components
+from txstream.operators import components, joins
 
 
 @pytest.mark.parametrize("share", [1, 4, 1_000])
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_hot_and_other_keys_find_their_rows(spark, monkeypatch, share, how):
     monkeypatch.setattr(joins, "SHARE", share)
+    monkeypatch.setattr(joins, "FEW", 0)
     rows = spark.range(300).select("id", F.when(F.col("id") < 100, 7).when(F.col("id") < 290, F.col("id") % 40).when(F.col("id") < 295, 99).cast("long").alias("k"))
     table = rows.where("k != 99").groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     found = joins.looked_up(rows, table, "k", how=how)
@@ -19,7 +20,15 @@ def test_hot_and_other_keys_find_their_rows(spark, monkeypatch, share, how):
     assert sorted(map(repr, found.select("id", "k", "least").collect())) == sorted(map(repr, wanted.collect()))
 
 
-def test_a_hot_key_is_not_shuffled(spark):
+def test_a_small_table_is_broadcast(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id long, k string")
+    table = spark.createDataFrame([("a", 5, 1)], "k string, v int, n long")
+    assert {(r.id, r.v) for r in joins.looked_up(rows, table, "k").collect()} == {(1, 5), (2, None), (3, None)}
+    assert {(r.id, r.v) for r in joins.looked_up(rows, table, "k", how="inner").collect()} == {(1, 5)}
+
+
+def test_a_hot_key_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(joins, "FEW", 100)
     rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"))
     table = rows.groupBy("k").agg(F.max("id").alias("most"), F.count("*").alias("n"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -33,11 +42,27 @@ def test_a_hot_key_is_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("one", [1 << 18, 16])
+def test_components_of_a_long_chain(spark, monkeypatch, one):
+    """In one task, and in rounds over the stars of many."""
+    monkeypatch.setattr(components, "ONE", one)
     r = random.Random(4)
-    ids = list(range(200))
+    ids = list(range(120))
     r.shuffle(ids)
-    links = [(ids[k], ids[k + 1]) for k in range(len(ids) - 1) if k != 99]
-    found = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert {found[x] for x in ids[:100]} == {min(ids[:100])} and {found[x] for x in ids[100:]} == {min(ids[100:])}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    links = [(ids[k], ids[k + 1]) for k in range(len(ids) - 1) if k != 59] + [(500, 501), (502, 502)]
+    found = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {found[x] for x in ids[:60]} == {min(ids[:60])} and {found[x] for x in ids[60:]} == {min(ids[60:])}
+    assert (found[500], found[501], found[502]) == (500, 500, 502)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_labels_of_random_links():
+    r = np.random.default_rng(0)
+    for n in (1, 10, 300):
+        a, b = r.integers(0, 200, n), r.integers(0, 200, n)
+        least = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(n + 1):
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        ids, labels = components.labelled(a, b)
+        assert dict(zip(ids.tolist(), labels.tolist())) == least

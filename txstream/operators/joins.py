@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 #: A key is hot with more than one in so many of all rows; so fewer keys than this are hot, and these can be broadcast.
 SHARE = 1_000
+#: A table of so many rows, or fewer, is broadcast whole.
+FEW = 1 << 14
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "left", total: int | None = None) -> DataFrame:
-    """rows with the columns of ``table``, which has one row for a key and counts in ``n`` the rows that have it.
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "left") -> DataFrame:
+    """rows with the columns of ``table``, which has one short row for a key and counts in ``n`` the rows that have it.
 
-    Rows of hot keys are joined where they are, with fewer than SHARE rows of the table; the rest is shuffled, no key with
-    more than its SHARE-th part. Rows whose key is null or not in the table get nulls (``how``: left) or go (inner). Both
-    inputs are read several times. ``n`` itself isn't given on. ``total``: the sum of ``n``, where it is known.
+    A table of up to FEW rows is broadcast. Of a larger one, rows of hot keys are joined where they are, with fewer than
+    SHARE rows of the table; the rest is shuffled, no key with more than its SHARE-th part. Rows whose key is null or not
+    in the table get nulls (``how``: left) or go (inner). Both inputs are read several times. ``n`` isn't given on.
     """
-    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] if total is None else total
-    hot = F.col(n) * SHARE > total
-    few, many = table.where(hot).drop(n), table.where(~hot).drop(n)
-    found = rows.join(F.broadcast(few), key)
-    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(few.select(key)), key, "left_anti").join(many, key, how)
-    out = found.unionByName(rest)
-    if how == "left":
-        out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
-    return out
+    total, most, size = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0)), F.count("*")).first()
+    if size <= FEW:
+        return rows.join(F.broadcast(table.drop(n)), key, how)
+    known = rows.where(F.col(key).isNotNull())  # an outer join would bring all nulls together
+    if most * SHARE <= total:
+        out = known.join(table.drop(n), key, how)
+    else:
+        hot = F.col(n) * SHARE > total
+        few, many = table.where(hot).drop(n), table.where(~hot).drop(n)
+        out = known.join(F.broadcast(few), key).unionByName(known.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key, how))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
