@@ -220,9 +220,13 @@ def _blocks(weight, n):
     return F.ceil(F.greatest(weight / BLOCK, n / MEMBERS))
 
 
-def _within(members: DataFrame) -> DataFrame:
+def _sizes(members: DataFrame) -> DataFrame:
+    """key, n, blocks: the blocks that a key's members need."""
+    return stored(members.groupBy("key").agg(F.count("*").alias("n"), _blocks(F.sum("weight"), F.count("*")).alias("blocks")), "sizes")
+
+
+def _within(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """members (key, id, label, weight) dealt into blocks (i), each with its own alone."""
-    sizes = stored(members.groupBy("key").agg(F.count("*").alias("n"), _blocks(F.sum("weight"), F.count("*")).alias("blocks")), "sizes")
     dealt = looked_up(members, sizes, "key", how="inner")
     return dealt.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("i"), F.lit(0).cast("long").alias("j"), "id", "label", F.lit(False).alias("visits"))
 
@@ -284,19 +288,19 @@ def linked(members: DataFrame, small: DataFrame, sets_of, percent: int) -> DataF
         mixed = renewed.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         return stored(looked_up(renewed, stored(mixed.select("key", "n"), "mixed"), "key", how="inner"), "members")
 
-    links = met(_within(members))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), _blocks(F.sum("weight"), F.count("*")).alias("blocks")).where("blocks > 1")
-    large = stored(looked_up(members, stored(sizes.drop("blocks"), "large"), "key", how="inner"), "members")
-    if large.isEmpty():
+    sizes = _sizes(members)
+    links = met(_within(members, sizes))
+    if sizes.where("blocks > 1").isEmpty():
         return links
-    large, labels = relabelled(large, links), None
+    large, labels = relabelled(looked_up(members, sizes.where("blocks > 1").drop("blocks"), "key", how="inner"), links), None
     while not large.isEmpty():
         before, labels = labels, large.select("key", "label").distinct().count()
         if before is not None and 2 * labels > before:  # what is left isn't joined by a few members of each
             return links.union(met(_across(large)))
         chosen = F.array_distinct(F.array(*[F.min_by(F.struct("id", "weight"), F.xxhash64("id", F.lit(k))) for k in range(SPOKESMEN)]))
         few = large.groupBy("key", "label").agg(chosen.alias("some"))
-        found = met(_within(few.select("key", "label", F.explode("some").alias("one")).select("key", "one.id", "label", "one.weight")))
+        few = stored(few.select("key", "label", F.explode("some").alias("one")).select("key", "one.id", "label", "one.weight"), "few")
+        found = met(_within(few, _sizes(few)))
         links, large = links.union(found), relabelled(large, found)
     return links
 
