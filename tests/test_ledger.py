@@ -45,7 +45,7 @@ def run(rows, states, how, start=None, chunk=1 << 17):
         done = ledger.rounds(made, units, limit=40, chunk=chunk, start=started)
         scale = float(10 ** next(iter(states.values())).scale)
         return ledger.Outcome(done.votes, done.writes.withColumn("value", done.writes.value / scale))
-    return ledger.execute(rows, states, start=start, how=how)
+    return ledger.execute(rows, states, TxConfig(rest_limit=0), start, how)
 
 
 @pytest.mark.parametrize(("n", "keys", "how", "chunk"), [(120, 4, "serial", 1), (120, 4, "rounds", 16), (200, 60, "rounds", 1 << 17), (1, 1, "rounds", 4), (200, 60, "groups", 1), (120, 4, "groups", 1), (200, 30, "some", 16)])
@@ -82,7 +82,7 @@ def test_folds_of_cents_agree_with_the_ledger(spark):
     ops = [(t, 0, "a", r.choice("xy"), r.randint(-3_000, 2_500) / 100) for t in range(1, 150)]
     rows, fn = spark.createDataFrame(ops, OPS), additive(100.0, low=0.0)
     folded = {x.tid: (x.vote, x.value) for x in ledger.keyed_folds(rows, fn).collect()}
-    done = ledger.execute(rows, {"a": fn}, how="rounds")
+    done = ledger.execute(rows, {"a": fn}, TxConfig(rest_limit=0), how="rounds")
     assert {t: v for t, (v, _) in folded.items()} == {x.tid: x.vote for x in done.votes.collect()}
     assert {t: v for t, (vote, v) in folded.items() if vote == "COMMIT"} == {x.tid: x.value for x in done.writes.collect()}
 
@@ -97,9 +97,9 @@ def test_amounts_finer_than_the_scale_are_refused(spark):
 def test_the_limit_changes_nothing(spark):
     ops = transfers(150, 12, 5)
     rows, states = spark.createDataFrame(ops, OPS), {ns: additive(100.0, low=0.0, high=250.0) for ns in ("a", "b")}
-    found = [ledger.execute(rows, states, TxConfig(serial_limit=n)) for n in (1, 50, 10_000)] + [ledger.execute(rows, states, TxConfig(strategy=PESSIMISTIC))]
+    found = [ledger.execute(rows, states, TxConfig(serial_limit=n, rest_limit=m)) for n, m in ((1, 0), (50, 40), (1, 10_000), (10_000, 0))] + [ledger.execute(rows, states, TxConfig(strategy=PESSIMISTIC))]
     first = [sorted(map(tuple, d.votes.collect())) for d in found]
-    assert first[0] == first[1] == first[2] == first[3] and len({str(sorted(map(str, d.writes.select("tid", "ns", "key", "value").collect()))) for d in found}) == 1
+    assert all(f == first[0] for f in first) and len({str(sorted(map(str, d.writes.select("tid", "ns", "key", "value").collect()))) for d in found}) == 1
 
 
 def test_queues_and_dependencies(spark):

@@ -33,8 +33,10 @@ class TxConfig:
     max_versions: int | None = None
     #: Tasks that number and admit transactions (None or 0: as Spark deals them); numbering is total with any of them.
     parallelism: int | None = None
-    #: Operations up to which one task runs a ledger, or what is left of it, in order.
+    #: Operations up to which one task runs a ledger in order; larger ones run in rounds.
     serial_limit: int = 1_000_000
+    #: Open operations that rounds leave to one task.
+    rest_limit: int = 100_000
 
     def __post_init__(self) -> None:
         if self.strategy not in (OPTIMISTIC, PESSIMISTIC):

@@ -8,7 +8,7 @@ invariant holds after each of its operations; else it writes nothing. Ways to th
                    is open before takes and nothing gives, at most the other way round. What holds at both ends commits,
                    what fails at both aborts, and these votes are final; the next round carries open transactions alone.
                    Sums are two-level, by chunks of tids, so a key with most operations is many groups. When no more than
-                   ``serial_limit`` operations are open, or a round decides little, the rest runs in order: transactions
+                   ``rest_limit`` operations are open, or a round decides little, the rest runs in order: transactions
                    that share no open key, directly or through others, in parallel.
 ``serial``         one task runs the transactions in order, whatever the states.
 ``keyed_folds``    transactions of one key each: every key's operations fold in order, all keys in parallel.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..config import PESSIMISTIC, TxConfig
 from ..schemas import ABORT, COMMIT
-from ..sources.shared import stored
+from ..sources.shared import released, stored
 from .components import components
 from .folds import folded
 from .joins import looked_up
@@ -100,7 +100,7 @@ def rounds(ops: DataFrame, states: dict[str, StateFunction], limit: int = 0, chu
         held = start.select(*_KEY, F.col("value").alias("held"))
         rows = rows.join(held, list(_KEY), "left").withColumn("base", F.coalesce(F.col("held") - _by_state(states, lambda f: F.lit(f.default)), "base")).drop("held")
     rows = stored(rows.withColumn("base", F.col("base") + _by_state(states, lambda f: F.lit(f.default))), "ledger")
-    n_open, done, votes = rows.count(), 0, []
+    n_open, done, votes, made = rows.count(), 0, [], []
     every = open_ = rows.withColumn("sure", F.lit(False))
     own = Window.partitionBy("tid")
     while n_open > limit:
@@ -115,17 +115,20 @@ def rounds(ops: DataFrame, states: dict[str, StateFunction], limit: int = 0, chu
         voted = judged.select("tid", *_KEY, "net", "low", "high", "chunk", (F.col("base") + F.col("exact")).alias("base"), holds.alias("holds"), fails.alias("fails"))
         voted = voted.withColumns({"sure": F.min("holds").over(own), "gone": F.max("fails").over(own)}).drop("holds", "fails")
         voted = stored(voted, "round")
+        made.append(voted)
         votes.append(voted.where("sure or gone").select("tid", F.col("sure").alias("commit")))
         open_ = voted.where("not gone").drop("gone")
         before, n_open = n_open, open_.where("not sure").count()
         if before - n_open < least * before:
             break
     if n_open:
-        votes.append(_rest(open_, states, one=n_open <= limit))
+        made.append(_rest(open_, states, one=n_open <= limit))
+        votes.append(made[-1])
     decided = rows.select("tid", F.lit(True).alias("commit")).limit(0)
     for more in votes:
         decided = decided.unionByName(more)
     decided = stored(decided.groupBy("tid").agg(F.min("commit").alias("commit")), "votes")
+    released(*made)
     # with all votes known, one pass gives what every key holds after each transaction
     committed = every.join(decided.where("commit"), "tid", "left_semi")
     sums = _sums_before(committed, {"before": F.col("net")})
@@ -253,7 +256,7 @@ def execute(ops: DataFrame, states: dict[str, StateFunction], config: TxConfig =
     """Run ops by the way that fits: additive states in order up to ``serial_limit`` operations and in rounds beyond,
     other states in order. The way never changes the outcome.
 
-    ``how``: ``serial``, ``rounds`` (whatever the size, to the end), ``groups`` (no rounds: groups of transactions that share
+    ``how``: ``serial``, ``rounds`` (whatever the size), ``groups`` (no rounds: groups of transactions that share
     keys, each in order). A pessimistic strategy runs groups, as locks on keys would order transactions.
     """
     if not all(fn.additive for fn in states.values()):
@@ -268,11 +271,10 @@ def execute(ops: DataFrame, states: dict[str, StateFunction], config: TxConfig =
         how = "groups"
     if how == "auto":
         how = "rounds" if ops.limit(config.serial_limit + 1).count() > config.serial_limit else "serial"
-        done = rounds(units, exact, config.serial_limit, start=start) if how == "rounds" else serial(units, exact, start)
-    elif how == "groups":
+    if how == "groups":
         done = rounds(units, exact, 0, start=start, least=2.0)
     else:
-        done = rounds(units, exact, 0, start=start) if how == "rounds" else serial(units, exact, start)
+        done = rounds(units, exact, config.rest_limit, start=start) if how == "rounds" else serial(units, exact, start)
     size = _by_state(states, lambda f: F.lit(float(10**f.scale)))
     return Outcome(done.votes, done.writes.withColumn("value", F.col("value") / size), done.rounds)
 

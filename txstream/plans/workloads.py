@@ -125,7 +125,8 @@ def _cents_sql(accounts: int) -> str:
 def _cents(spark: SparkSession, sf_dir: str, how: str, accounts: int = 500) -> DataFrame:
     rows = read(spark, sf_dir, "orders")
     rows = generators.transfers(rows, accounts).join(rows.select(F.col("o_orderkey").alias("ord"), ((1 + F.col("o_orderkey") * 7919 % 6000) / 100).alias("cents")), "ord")
-    closed = tgraph.close(bank_stream(tgraph.TGraph(spark), rows.select("ord", "src", "dst", F.col("cents").alias("amount"))), how=how)
+    config = TxConfig(rest_limit=0)  # rounds to the end, and groups that share keys
+    closed = tgraph.close(bank_stream(tgraph.TGraph(spark, config), rows.select("ord", "src", "dst", F.col("cents").alias("amount"))), how=how)
     return closed.versions["balances"].select("key", F.col("version").alias("tid"), F.round(F.col("value") * 100).cast("long").alias("cents"))
 
 
