@@ -62,7 +62,7 @@ def test_a_cloud_of_copies_around_the_threshold(spark, monkeypatch, block):
     assert found_of(near_dedup.near_duplicates(docs, 2, 80)) == brute(rows, 2, 80)
 
 
-@pytest.mark.parametrize(("members", "block"), [(8, 1 << 20), (4_096, 2_000)])
+@pytest.mark.parametrize(("members", "block"), [(8, 1 << 20), (256, 2_000)])
 def test_large_groups_go_through_many_blocks(spark, monkeypatch, members, block):
     """A tight group, a chain whose ends aren't similar, and a loose cloud, each in blocks much smaller than itself."""
     monkeypatch.setattr(near_dedup, "MEMBERS", members)

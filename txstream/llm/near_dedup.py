@@ -46,7 +46,7 @@ from .common import WordHash, released, stored, texts, windows
 HASHES, ROWS, BANDS = 128, 4, 24
 BATCH, MISS = 16, 1e-6
 #: Members and shingles (8 bytes each) of a block: a task holds two blocks.
-MEMBERS, BLOCK = 1 << 12, 1 << 20
+MEMBERS, BLOCK = 1 << 8, 1 << 20
 #: Members that stand for a component of a cluster of many blocks.
 SPOKESMEN = 4
 #: Representatives of a bucket: as many orders of its members are tried, one for each group of bands.
@@ -275,7 +275,6 @@ def linked(members: DataFrame, small: DataFrame, sets_of, percent: int) -> DataF
     """
 
     def met(dealt: DataFrame) -> DataFrame:
-        dealt = stored(dealt, "dealt")
         return stored(_met(dealt, small, sets_of(dealt.select(F.col("id").alias("doc_id")).distinct()), percent), "met")
 
     def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -289,18 +288,19 @@ def linked(members: DataFrame, small: DataFrame, sets_of, percent: int) -> DataF
         return stored(looked_up(renewed, stored(mixed.select("key", "n"), "mixed"), "key", how="inner"), "members")
 
     sizes = _sizes(members)
-    links = met(_within(members, sizes))
-    if sizes.where("blocks > 1").isEmpty():
-        return links
+    if sizes.where("blocks > 1").isEmpty():  # every key is a block
+        zero = F.lit(0).cast("long")
+        return met(members.select("key", zero.alias("i"), zero.alias("j"), "id", "label", F.lit(False).alias("visits")))
+    links = met(stored(_within(members, sizes), "dealt"))
     large, labels = relabelled(looked_up(members, sizes.where("blocks > 1").drop("blocks"), "key", how="inner"), links), None
     while not large.isEmpty():
         before, labels = labels, large.select("key", "label").distinct().count()
         if before is not None and 2 * labels > before:  # what is left isn't joined by a few members of each
-            return links.union(met(_across(large)))
+            return links.union(met(stored(_across(large), "dealt")))
         chosen = F.array_distinct(F.array(*[F.min_by(F.struct("id", "weight"), F.xxhash64("id", F.lit(k))) for k in range(SPOKESMEN)]))
         few = large.groupBy("key", "label").agg(chosen.alias("some"))
         few = stored(few.select("key", "label", F.explode("some").alias("one")).select("key", "one.id", "label", "one.weight"), "few")
-        found = met(_within(few, _sizes(few)))
+        found = met(stored(_within(few, _sizes(few)), "dealt"))
         links, large = links.union(found), relabelled(large, found)
     return links
 
