@@ -98,17 +98,22 @@ class Model:
         return self.read(text)[0]
 
 
-def mixture(words: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
-    """Proportions of the languages by expectation-maximisation, the log-likelihood they give, and a bound of any."""
+def mixture(words: np.ndarray, steps: int = STEPS, enough: float | None = None) -> tuple[np.ndarray, float, float]:
+    """Proportions of the languages by expectation-maximisation, the log-likelihood they give, and a bound of any.
+
+    Once the bound is no more than ``enough``, which is looked at after 1, 2, 4, ... steps, they are as good as needed.
+    """
     n, k = words.shape
     top = words.max(axis=1)
     p = np.exp(words - top[:, None])
     share = np.full(k, 1 / k)
-    for _ in range(steps):
+    for step in range(steps):
         both = p @ share
         pull = (p / both[:, None]).sum(axis=0) / n  # at the greatest likelihood, 1 or less for every language
         if pull.max() - 1 < TOLERANCE / n:
             break
+        if enough is not None and not step & (step - 1) and float(np.log(both).sum() + top.sum()) + n * float(np.log(pull.max())) <= enough:
+            break
         share = share * pull
     loglik = float(np.log(p @ share).sum() + top.sum())
     return share, loglik, loglik + n * float(np.log(max(1.0, pull.max())))
@@ -126,7 +131,7 @@ def infer(words: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.nd
     found = [best], np.ones(1), float(single[best])
     if k == 1:
         return found
-    every = mixture(words)
+    every = mixture(words, enough=found[2] + price)
     if every[2] - price <= found[2]:
         return found
     known: dict[tuple[int, ...], tuple[np.ndarray, float]] = {(j,): (np.ones(1), float(single[j])) for j in range(k)}
