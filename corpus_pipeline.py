@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from txstream.llm import langid, mixing, near_dedup, packing, quality_rules
 from txstream.llm.common import free_name, stored, table
+from txstream.operators.joins import looked_up
 
 #: A document whose main language has a smaller share of its words than this, among the languages that it is found to be
 #: in, is rejected, as one without a letter is, and one that letters drawn by chance explain better than its languages do.
@@ -47,9 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     own, kept, rows = (free_name(n, docs.columns) for n in ("__dedup_id", "__dedup_kept", "__dedup_rows"))
     text = F.coalesce(F.xxhash64("text"), F.lit(0))
-    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rows), F.min(text).alias("least")).where(F.col(rows) > 1)
-    shared = shared.select(F.col("doc_id").alias(own), F.col("least").alias(kept))
-    named = docs.join(shared, docs["doc_id"] == shared[own], "left")
+    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows), F.min(text).alias(kept)).where(F.col(rows) > 1)
+    named = looked_up(docs.withColumn(own, F.col("doc_id")), stored(shared, "shared"), own, rows)
     beyond = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
     named = named.withColumn(own, F.when(F.col(kept).isNull() | (F.col(kept) == text), F.col("doc_id").cast("long")).otherwise(beyond)).drop(kept)
     found = near_dedup.near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), size=5, percent=80).where("doc_id is not null")
