@@ -48,8 +48,8 @@ def free_name(name: str, columns: list[str]) -> str:
 
 
 # ---------------------------------------------------------------- words and hashes
-#: A word cache stops taking new words here (some 60 MB); words beyond it are hashed each time.
-CACHE_WORDS = 300_000
+#: A word cache stops taking new words here (some 20 MB); words beyond it are hashed each time.
+CACHE_WORDS = 100_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
