@@ -31,6 +31,21 @@ def test_compaction_keeps_what_readers_can_see(table):
         assert sorted(map(tuple, store.as_of(kept, w).collect())) == sorted(map(tuple, store.as_of(table, w).collect()))
 
 
+def test_many_queries_of_a_key_with_many_versions(spark):
+    """Pairs of a query and a version, 10**10 here, would take minutes; merging both takes seconds."""
+    n = 100_000
+    table = spark.range(1, n + 1).select(F.lit("b").alias("ns"), F.lit("x").alias("key"), (F.col("id") * 2).alias("version"), (F.col("id") * 2).alias("created_by"), F.lit("COMMITTED").alias("status"), F.col("id").cast("double").alias("value"))
+    asked = spark.range(n).select(F.col("id").cast("string").alias("query_id"), F.lit("b").alias("ns"), F.array(F.lit("x"), F.lit("z")).alias("keys"), (F.col("id") * 2 + 1).alias("watermark"))
+    found = []
+    assert metrics.timed(lambda: found.extend(query.point(asked, table).collect())) < 60
+    assert {(int(r.query_id), r.key): r.value for r in found} == {(k, "x"): float(k) for k in range(1, n)}  # the first asks before all versions
+
+
+def test_a_query_given_at_several_watermarks_is_answered_at_the_last(spark, table):
+    asked = spark.createDataFrame([("q1", "b", ["x"], 1), ("q1", "b", ["x"], 5), ("q2", "b", ["x"], None), ("q3", "b", ["y"], 1)], "query_id string, ns string, keys array<string>, watermark long")
+    assert [tuple(r) for r in query.point(asked, table).collect()] == [("q1", "b", "x", 8.0)]
+
+
 def test_queries(spark, table):
     asked = spark.createDataFrame([("q1", "b", ["x", "z", "x"], 4), ("q2", "b", ["x", "y"], 3)], "query_id string, ns string, keys array<string>, watermark long")
     found = {(r.query_id, r.key): r.value for r in query.point(asked, table).collect()}

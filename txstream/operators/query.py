@@ -6,7 +6,7 @@ import random
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import as_of
@@ -26,10 +26,19 @@ def with_watermark(queries: DataFrame, watermarks: DataFrame) -> DataFrame:
 
 
 def point(queries: DataFrame, versions: DataFrame) -> DataFrame:
-    """query_id, ns, key, value: each query's keys as of its watermark; untouched keys are left out."""
-    asked = queries.select("query_id", "ns", "watermark", F.explode(F.array_distinct("keys")).alias("key"))
-    seen = asked.join(versions.where(F.col("status") == "COMMITTED"), ["ns", "key"]).where(F.col("version") <= F.col("watermark"))
-    return seen.groupBy("query_id", "ns", "key").agg(F.max_by("value", "version").alias("value"))
+    """query_id, ns, key, value: each query's keys as of its watermark; untouched keys are left out.
+
+    A key's versions and the watermarks that it is asked at are merged in one order, so a version is read once, however
+    many queries ask; what was found at a watermark is then given to each of its queries.
+    """
+    asked = queries.select("query_id", "ns", F.explode(F.array_distinct("keys")).alias("key"), "watermark")
+    held = versions.where(F.col("status") == "COMMITTED").select("ns", "key", F.col("version").alias("at"), F.struct("value").alias("held"))
+    places = asked.select("ns", "key", F.col("watermark").alias("at")).distinct().withColumn("held", F.lit(None).cast(held.schema["held"].dataType))
+    # of one place in time a version comes before the question
+    past = Window.partitionBy("ns", "key").orderBy("at", F.col("held").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = held.unionByName(places).withColumn("last", F.last("held", ignorenulls=True).over(past)).where("held is null and last is not null")
+    found = seen.select("ns", "key", F.col("at").alias("watermark"), F.col("last.value").alias("value"))
+    return asked.join(found, ["ns", "key", "watermark"]).groupBy("query_id", "ns", "key").agg(F.max_by("value", "watermark").alias("value"))
 
 
 def predicate(versions: DataFrame, ns: str, keep: Callable[[Column], Column], watermark: int | None = None) -> DataFrame:
