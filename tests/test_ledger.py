@@ -1,11 +1,13 @@
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 
 from txstream.config import PESSIMISTIC, TxConfig
-from txstream.operators import ledger
+from txstream.operators import ledger, tgraph
 from txstream.operators.statefn import additive, appending
+from txstream.plans import dataflow
 
 OPS = "tid long, ord int, ns string, key string, amount double"
 
@@ -37,6 +39,29 @@ def transfers(n, keys, seed):
 WAYS = ["serial", "rounds", "groups", "some"]
 
 
+def test_a_fold_goes_on_over_batches_and_drops_groups_that_have_ended(monkeypatch):
+    monkeypatch.setattr(ledger, "KEYS", 1)
+    fold = ledger._Fold({"a": (0, 10, True), "b": (None, None, False)})
+    columns = ["part", "tid", "ns", "key", "net", "low", "high", "base", "sure"]
+    rows = lambda *r: pa.table(dict(zip(columns, map(list, zip(*r)))))
+    first = fold.decided(rows(
+        (1, 1, "a", "x", -3, -3, -3, 5, False), (1, 1, "b", "x", -9, -9, -9, 0, False), (1, 2, "a", "x", -2, -2, -2, 5, False),
+        (1, 3, "a", "x", 4, 4, 4, 5, True), (1, 4, "a", "x", 5, 5, 5, 5, False), (2, 5, "a", "y", 1, 0, 1, 9, False), (2, 6, "a", "z", 1, 0, 2, 9, False),
+    ))
+    assert list(zip(*first.to_pydict().values())) == [(1, True), (2, False), (4, False), (5, True), (6, False)]
+    assert set(fold.codes) == {("a", "y"), ("a", "z")}  # of the part that goes on
+    second = fold.decided(rows((2, 7, "a", "y", 1, 0, 1, 9, False), (2, 8, "a", "z", 1, 0, 1, 9, False)))
+    assert list(zip(*second.to_pydict().values())) == [(7, False), (8, True)]
+
+
+def test_the_sweep_numbers_its_transactions_once(spark, monkeypatch):
+    made = []
+    own = tgraph.numbered
+    monkeypatch.setattr(tgraph, "numbered", lambda *a, **k: made.append(1) or own(*a, **k))
+    found = dataflow.isolation_sweep(spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1 and len(found) == 5 and len({(r.commits, r.aborts, r.replays, r.closed) for r in found}) == 1
+
+
 def run(rows, states, how, start=None, chunk=1 << 17):
     if how == "some":  # rounds, and the rest in one task
         units = {ns: fn.in_units() for ns, fn in states.items()}

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from .statefn import StateFunction, additive
 
 #: Transactions of a key that are summed up to one number before sums run over keys.
 CHUNK = 1 << 17
+#: Keys that a task in order holds before it drops those of groups that have ended.
+KEYS = 1 << 20
 _KEY = ("ns", "key")
 
 
@@ -136,6 +139,71 @@ def rounds(ops: DataFrame, states: dict[str, StateFunction], limit: int = 0, chu
     return Outcome(decided.select("tid", F.when(F.col("commit"), COMMIT).otherwise(ABORT).alias("vote")), writes, done)
 
 
+class _Fold:
+    """What the keys of open transactions have moved by, as transactions run in order: whole ones at a time, sorted by
+    (part, tid), one row for each of their keys."""
+
+    def __init__(self, bounds: dict[str, tuple[int | None, int | None, bool]]) -> None:
+        self.bounds = bounds
+        self.codes: dict[tuple[str, str], int] = {}
+        self.parts: list[int] = []  # by code, the part that the key is of
+        self.moved: list[int] = []
+
+    def _coded(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The place of each row's key in ``moved``; the place of its namespace in the list of them."""
+        ns, key = (rows.column(c).combine_chunks().dictionary_encode() for c in _KEY)
+        ns, key = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ns, key))
+        names, keys, n = ns.dictionary.to_pylist(), key.dictionary.to_pylist(), len(key.dictionary)
+        space = ns.indices.to_numpy().astype(np.int64)
+        found, first, at = np.unique(space * n + key.indices.to_numpy(), return_index=True, return_inverse=True)
+        part, places = rows.column("part").to_numpy(), []
+        for x, row in zip(found.tolist(), first.tolist()):
+            name = names[x // n], keys[x % n]
+            code = self.codes.setdefault(name, len(self.codes))
+            if code == len(self.moved):
+                self.moved.append(0)
+                self.parts.append(int(part[row]))
+            places.append(code)
+        return np.array(places)[at], space, names
+
+    def _forget(self, part: int) -> None:
+        """Only the keys of the part that goes on are still needed."""
+        kept = [(name, code) for name, code in self.codes.items() if self.parts[code] == part]
+        self.codes = {name: k for k, (name, _) in enumerate(kept)}
+        self.moved, self.parts = [self.moved[code] for _, code in kept], [part] * len(kept)
+
+    def decided(self, rows: pa.Table) -> pa.RecordBatch:
+        """tid, commit of the open transactions among the rows."""
+        code, space, names = self._coded(rows)
+        part, tid, net, low, high, base, sure = (rows.column(c).to_numpy() for c in ("part", "tid", "net", "low", "high", "base", "sure"))
+        any_, none = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+        least, most = np.full(len(tid), none), np.full(len(tid), any_)
+        for k, name in enumerate(names):  # how far a key may have moved for the transaction to hold on it
+            floor, ceiling, is_open = self.bounds[name]
+            own = (space == k) & ~sure
+            if floor is not None:
+                least[own] = floor + bool(is_open) - base[own] - low[own]
+            if ceiling is not None:
+                most[own] = ceiling - base[own] - high[own]
+        begins = np.flatnonzero(np.concatenate([[True], (tid[1:] != tid[:-1]) | (part[1:] != part[:-1])]))
+        moved, ok = self.moved, []
+        code, net, least, most = (x.tolist() for x in (code, net, least, most))
+        ends = [*begins[1:].tolist(), len(tid)]
+        for a, b in zip(begins.tolist(), ends):
+            for k in range(a, b):
+                if not least[k] <= moved[code[k]] <= most[k]:
+                    ok.append(False)
+                    break
+            else:
+                for k in range(a, b):
+                    moved[code[k]] += net[k]
+                ok.append(True)
+        if len(self.moved) > KEYS:
+            self._forget(int(part[-1]))
+        asked = ~sure[begins]
+        return pa.RecordBatch.from_arrays([pa.array(tid[begins][asked], pa.int64()), pa.array(np.array(ok, dtype=bool)[asked])], names=["tid", "commit"])
+
+
 def _rest(rows: DataFrame, states: dict[str, StateFunction], one: bool) -> DataFrame:
     """tid, commit of the open transactions (``sure`` is false), run in order beside those that are sure.
 
@@ -152,42 +220,25 @@ def _rest(rows: DataFrame, states: dict[str, StateFunction], one: bool) -> DataF
         named = counts.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n")
         needed = asks.select("node").distinct()  # what touches no open transaction's keys is of no use here
         dealt = looked_up(rows, stored(named.join(needed, "node", "left_semi"), "parts"), "node", how="inner").drop("node").repartition("part")
-    functions = {ns: (fn.low, fn.high, fn.low_open) for ns, fn in states.items()}
+    bounds = {ns: (fn.low, fn.high, fn.low_open) for ns, fn in states.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moved: dict[tuple[str, str], int] = {}
-        now, legs, out = None, [], []
-
-        def end() -> None:
-            if not legs:
-                return
-            ok = True
-            for ns, key, net, low, high, base, sure in legs:
-                least, most, is_open = functions[ns]
-                at = base + moved.get((ns, key), 0)
-                if not sure and (least is not None and (at + low < least or is_open and at + low == least) or most is not None and at + high > most):
-                    ok = False
-                    break
-            if ok:
-                for ns, key, net, *_ in legs:
-                    moved[ns, key] = moved.get((ns, key), 0) + net
-            if not legs[0][-1]:
-                out.append((now[1], ok))
-            legs.clear()
-
+        fold, held, now = _Fold(bounds), [], None
         for batch in batches:
-            for part, tid, *leg in zip(*(batch.column(c).to_pylist() for c in ("part", "tid", "ns", "key", "net", "low", "high", "base", "sure"))):
-                if now != (part, tid):
-                    end()
-                    if now is None or now[0] != part:
-                        moved.clear()
-                    now = (part, tid)
-                legs.append(leg)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int64()), pa.array([k for _, k in out], pa.bool_())], names=["tid", "commit"])
-                out.clear()
-        end()
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int64()), pa.array([k for _, k in out], pa.bool_())], names=["tid", "commit"])
+            if not batch.num_rows:
+                continue
+            part, tid = (batch.column(c).to_numpy() for c in ("part", "tid"))
+            begins = np.flatnonzero((tid[1:] != tid[:-1]) | (part[1:] != part[:-1])) + 1
+            if now is not None and now != (part[0], tid[0]):  # the transaction that was held is whole
+                begins = np.concatenate([[0], begins])
+            now = part[-1], tid[-1]
+            if len(begins):
+                held.append(batch.slice(0, begins[-1]))
+                yield fold.decided(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            held.append(batch.slice(begins[-1] if len(begins) else 0))
+        if held:
+            yield fold.decided(pa.Table.from_batches(held).combine_chunks())
 
     return stored(dealt.sortWithinPartitions("part", "tid").mapInArrow(run, "tid long, commit boolean"), "rest")
 

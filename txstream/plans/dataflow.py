@@ -12,8 +12,9 @@ from ..operators import folds, ledger, query, routing, sequence, store, tgraph,
 from ..operators.statefn import additive
 from ..schemas import ABORT, COMMIT, REPLAY
 from ..sources import generators
+from ..sources.shared import stored
 from . import workloads
-from .workloads import _FINAL, _T, ACCOUNTS, LINE_ORDER, START, bank, bank_ctes, read, registered
+from .workloads import _FINAL, _T, ACCOUNTS, LINE_ORDER, START, bank, bank_ctes, bank_stream, read, registered
 
 _LINES = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
 
@@ -196,8 +197,10 @@ _SWEPT = ", ".join(f"('{s}', 'PL{int(level)}')" for s, level in SWEEP)
 def isolation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank under every strategy and isolation level of the sweep: one outcome, and no transaction replayed."""
     out = None
+    rows = stored(tgraph.numbered(generators.transfers(read(spark, sf_dir, "orders"), ACCOUNTS), ["ord"]), "transfers")  # one input, with its ids
     for strategy, level in SWEEP:
-        closed = bank(spark, sf_dir, config=TxConfig(isolation=level, strategy=strategy))
+        graph = tgraph.TGraph(spark, TxConfig(isolation=level, strategy=strategy))
+        closed = tgraph.close(bank_stream(graph, rows, tid="tid"))
         one = metrics.counters(closed.results).select(F.lit(strategy).alias("strategy"), F.lit(level.name).alias("level"), "*")
         out = one if out is None else out.unionByName(one)
     return out
