@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from txstream.llm import langid, mixing, near_dedup, packing, quality_rules
 from txstream.llm.common import free_name, stored, table
-from txstream.operators.joins import looked_up
+from txstream.operators.joins import looked_up, sifted
 
 #: A document whose main language has a smaller share of its words than this, among the languages that it is found to be
 #: in, is rejected, as one without a letter is, and one that letters drawn by chance explain better than its languages do.
@@ -53,10 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     beyond = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
     named = named.withColumn(own, F.when(F.col(kept).isNull() | (F.col(kept) == text), F.col("doc_id").cast("long")).otherwise(beyond)).drop(kept)
     found = near_dedup.near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), size=5, percent=80).where("doc_id is not null")
-    # only ids that go, or that several rows share, are joined with the texts
+    # only ids that go, or that several rows share, are joined with the texts; other texts stay where they are
     marks = found.groupBy(F.col("doc_id").alias(own)).agg(F.min("kept").alias(kept), F.count("*").alias(rows)).where(~F.col(kept) | (F.col(rows) > 1))
-    marked = named.join(marks.drop(rows), own, "left")
-    once = marked.where(F.col(kept).isNull()).select(docs.columns)
+    marks = stored(marks.drop(rows), "marks")
+    some, others = sifted(named, marks, own)
+    marked = some.join(marks, own, "left")
+    once = others.select(docs.columns).union(marked.where(F.col(kept).isNull()).select(docs.columns))
     return once.union(marked.where(kept).dropDuplicates([own]).select(docs.columns))
 
 

@@ -277,3 +277,12 @@ def test_clashing_columns(clashing, labels):
     assert quality_classifier.score(clashing, quality_classifier.fit(clashing, labels, bits=12)).count() == 15
     assert quality_rules.judge(clashing, quality_rules.fit(clashing, labels, bits=12), carry=("text", "carry_0")).count() == 15
     assert langid.identify(clashing, langid.fit(clashing, bits=10), carry=tuple(clashing.columns)).count() == 15
+
+
+def test_a_carried_text_is_sent_once(odd, odd_rows):
+    for carry in (("text",), ("lang", "text", "doc_id")):
+        found = langid.identify(odd, langid.fit(odd, bits=10), carry=carry)
+        sent = found._jdf.queryExecution().optimizedPlan().children().apply(0).output().size()
+        assert sent == 3 + len(carry) - 1
+        at = [("doc_id", "text", "lang").index(c) for c in carry]
+        assert sorted(map(repr, (tuple(r[f"carry_{k}"] for k in range(len(carry))) for r in found.collect()))) == sorted(repr(tuple(row[a] for a in at)) for row in odd_rows)

@@ -544,3 +544,17 @@ def test_stages_take_odd_rows(spark, odd, empty, clashing):
             most = docs.count() if stage is not corpus_pipeline.mix else sum(r["__mix_copies"] for r in mixing.counted(docs).collect())
             assert out.count() <= most
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_texts_that_stay_are_not_shuffled_for_those_that_go(spark, monkeypatch):
+    from txstream.operators import joins
+
+    monkeypatch.setattr(joins, "FEW", 0)
+    rows = [(k, prose(k // 2 if k < 20 else k, 80), "en", "s", 1) for k in range(400)]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted(r.doc_id for r in found.collect()) == [k for k in range(400) if k >= 20 or k % 2 == 0]
+    shuffled = []
+    own = corpus_pipeline.sifted
+    monkeypatch.setattr(corpus_pipeline, "sifted", lambda *a: shuffled.append(out := own(*a)) or out)
+    corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert 10 <= shuffled[0][0].count() < 100

@@ -42,6 +42,23 @@ def test_a_hot_key_is_not_shuffled(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_a_sieve_loses_no_key(spark, monkeypatch, words):
+    monkeypatch.setattr(joins, "WORDS", words)
+    rows = spark.range(6_000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 5_000).alias("k"), F.lit("a").alias("__word"), F.lit("b").alias("__MASK"))
+    table = spark.range(0, 5_000, 10).select(F.col("id").cast("int").alias("k"), F.lit(True).alias("gone"))
+    some, others = joins.sifted(rows, table, "k")
+    assert set(some.columns) == set(others.columns) == set(rows.columns)
+    first, second = ({(r.id, r.k) for r in x.collect()} for x in (some, others))
+    assert not first & second and first | second == {(k, k % 5_000 if k % 7 else None) for k in range(6_000)}
+    found = {x for x in first if x[1] is not None and x[1] % 10 == 0}
+    assert not {x for x in second if x[1] is not None and x[1] % 10 == 0} and not {x for x in first if x[1] is None}
+    if words > 1:
+        assert len(first) - len(found) < 600  # of 4,600 others
+    none = joins.sifted(rows, table.limit(0), "k")
+    assert none[0].count() == 0 and none[1].count() == 6_000
+
+
 @pytest.mark.parametrize("one", [1 << 18, 16])
 def test_components_of_a_long_chain(spark, monkeypatch, one):
     """In one task, and in rounds over the stars of many."""

@@ -47,6 +47,17 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def carried(docs: DataFrame, carry: tuple[str, ...], own: list) -> tuple[DataFrame, list[int]]:
+    """``own`` columns, the text the last of them, and those named in ``carry`` as carry_0, ...; where each of these is.
+
+    A carried text is the text that is judged already, so a batch holds it once.
+    """
+    same = [c == "text" and dict(docs.dtypes)[c] == "string" for c in carry]
+    more = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry) if not same[k]]
+    others = iter(range(len(own), len(own) + len(more)))
+    return docs.select(*own, *more), [len(own) - 1 if s else next(others) for s in same]
+
+
 # ---------------------------------------------------------------- words and hashes
 #: A word cache stops taking new words here (some 20 MB); words beyond it are hashed each time.
 CACHE_WORDS = 100_000

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import carried
+
 UNKNOWN = "und"
 BITS = 16
 #: Ids of each language that are learnt from.
@@ -222,6 +224,9 @@ def identify(docs: DataFrame, model: Model, held_out: Column | None = None, carr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x languages: grows with languages alone
     fields = [x.split()[0] for x in _FOUND.split(", ")]
 
+    held = F.lit(False) if held_out is None else held_out
+    rows, places = carried(docs, carry, [F.col("doc_id").cast("long").alias("id"), held.alias("held"), F.col("text").cast("string").alias("t")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -235,9 +240,7 @@ def identify(docs: DataFrame, model: Model, held_out: Column | None = None, carr
                     out.append((UNKNOWN, 0.0, [], [], None))
             kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64())
             made = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *batch.columns[3:]], names=[*fields, *(f"carry_{k}" for k in range(len(carry)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *[batch.column(k) for k in places]], names=[*fields, *(f"carry_{k}" for k in range(len(carry)))])
 
-    held = F.lit(False) if held_out is None else held_out
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), held.alias("held"), F.col("text").cast("string").alias("t"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
-    types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    types = "".join(f", carry_{k} {rows.schema.fields[at].dataType.simpleString()}" for k, at in enumerate(places))
     return rows.mapInArrow(run, _FOUND + types)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, texts
+from .common import carried, mixed, texts
 from .features import vector
 from .labelled import labelled_ids, vectors
 
@@ -137,6 +137,8 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: tu
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights: of fixed size
     fields = [x.split()[0] for x in _RULES.split(", ")]
 
+    rows, places = carried(docs, carry, [F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -148,8 +150,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: tu
                 out.append((n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, not failed and p >= threshold, p))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
             made = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], names=[*fields, *(f"carry_{k}" for k in range(len(carry)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *[batch.column(k) for k in places]], names=[*fields, *(f"carry_{k}" for k in range(len(carry)))])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
-    types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    types = "".join(f", carry_{k} {rows.schema.fields[at].dataType.simpleString()}" for k, at in enumerate(places))
     return rows.mapInArrow(run, _RULES + types)
