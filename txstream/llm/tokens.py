@@ -11,8 +11,8 @@ import os
 import re
 from array import array
 
-#: Words whose ids are kept (some 160 MB in a Python worker); later rare words are encoded each time.
-CACHE_WORDS = 800_000
+#: Words whose ids are kept (some 25 MB in a Python worker); later rare words are encoded each time.
+CACHE_WORDS = 150_000
 #: The name of the default vocabulary file in the public tokenizers package; its path is a parameter everywhere.
 WORD_BPE = "word_bpe_49k.json"
 
