@@ -383,6 +383,37 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     assert np.frombuffer(fresh.ids(text.encode()), "<u4").tolist() == fresh.whole.encode(text, add_special_tokens=False).ids and len(fresh) == 2
 
 
+def test_words_that_come_once_take_no_place(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "RECENT_WORDS", 4, raising=False)
+    fresh = tokens.WordTokenizer(tokens.default_path())
+    text = " ".join(f"once{c}" for c in "abcdefghij") + " river stone river stone, stone, more and once river"
+    for _ in range(2):
+        assert np.frombuffer(fresh.ids(text.encode()), "<u4").tolist() == fresh.whole.encode(text, add_special_tokens=False).ids
+    assert {b"river", b"stone"} <= set(fresh) and len(fresh) <= 3 and len(fresh.recent) <= 4
+
+
+def test_marks_and_capitals_without_the_library():
+    fresh = tokens.WordTokenizer(tokens.default_path())
+    text = 'river*** Stone,### Ñar%%% ÉTÉ&&& ciónÀ!! wo) ß." été::: a,b'
+    wanted = fresh.whole.encode(text, add_special_tokens=False).ids
+    fresh.ids(b'*** ,### %%% &&& !! ) ." ::: a,b')
+    fresh.whole = None
+    assert np.frombuffer(fresh.ids(text.encode()), "<u4").tolist() == wanted
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|> <|endoftext|>. a<|startoftext|> x<|endoftext|", "l's, 'S. d''' it's### 's*** 12.5, 3)) a_ b_, ×, ÷. à×. Ð, Þ; ÿ?", 'é, É### ñ̃. İ! ª, µ. ß"', "x\x00, \x1f. ​, ﻿. a ,  b."])
+def test_odd_words_are_the_librarys(text):
+    found = tokens.loaded(tokens.default_path())
+    for _ in range(3):
+        assert np.frombuffer(found.ids(text.encode()), "<u4").tolist() == found.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_more_rows_than_a_worker_holds(spark):
+    docs = [(k, f"word {k} of {'stone ' * (k % 7)}") for k in range(2_017)] + [(None, None), (1, "")]
+    check_packed(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect(), docs)
+
+
 # ---------------------------------------------------------------- WARC
 PAGES = "page_id long, url string, html string"
 

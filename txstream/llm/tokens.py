@@ -3,21 +3,29 @@
 For tokenizers that drop white space and treat the words between it on their own (``word_bpe_49k.json`` does: it splits
 by a pattern that never crosses white space), the ids of a text are the ids of its words, one after another. So each
 word is encoded once and then looked up; texts that this doesn't hold for go to the library whole.
+
+Most words of a corpus come once, so a word is kept when it comes again soon; until then it is among a bounded number of
+recent ones. Words that come once don't take the place of those that repeat, however late these begin.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
 
-#: Words whose ids are kept (some 25 MB in a Python worker); later rare words are encoded each time.
-CACHE_WORDS = 150_000
+#: Words whose ids are kept for good, and words seen once lately (some 45 MB in a Python worker together); others are
+#: encoded each time.
+CACHE_WORDS = 200_000
+RECENT_WORDS = 100_000
 #: The name of the default vocabulary file in the public tokenizers package; its path is a parameter everywhere.
 WORD_BPE = "word_bpe_49k.json"
 
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
-_LETTER_END = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])[.,]\Z")
+_LETTERS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+")
+#: Marks behind a letter are a piece of their own; none of these is the end of an added token.
+_MARKS = b'!"#$%&)*,.:;?'
+_TAIL = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([" + _MARKS + rb"]+)\Z")
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -43,26 +51,39 @@ class WordTokenizer(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.recent: dict[bytes, bytes] = {}
         # bytes as the model's alphabet writes them: printable ones stand for themselves, the others follow U+0100
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.alphabet = "".join(alphabet[b] for b in range(256))
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1] in b".," and _LETTER_END.search(word):  # punctuation after a letter is a piece of its own
-            return self[word[:-1]] + self[word[-1:]]
-        # a run of letters in composed lower case is one piece, which the model takes as it is
-        if word.isascii():
-            found = self.model.tokenize(word.decode("ascii")) if word.isalpha() else None
-        else:
-            found = self.model.tokenize("".join([self.alphabet[b] for b in word])) if _LETTERS.fullmatch(word.decode("utf-8")) else None
-        if found is None:  # anything else goes through all the library's steps
-            ids = array("I", self.whole.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
-        else:
-            ids = array("I", [t.id for t in found]).tobytes()
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
+        ids = self.recent.get(word)
+        if ids is not None:
+            if len(self) < CACHE_WORDS:
+                self[word] = ids
+                del self.recent[word]
+            return ids
+        ids = self.encoded(word)
+        if len(self.recent) >= RECENT_WORDS:
+            self.recent.clear()
+        self.recent[word] = ids
         return ids
 
+    def encoded(self, word: bytes) -> bytes:
+        # a run of letters in composed form is one piece, which the model takes as it is in lower case
+        if word.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(word.decode("ascii"))]).tobytes()
+        tail = _TAIL.search(word) if word[-1] in _MARKS else None
+        if tail:
+            return self[word[: tail.start(1)]] + self[tail[1]]
+        text = word.decode("utf-8")
+        if _LETTERS.fullmatch(text):
+            letters, _ = codecs.charmap_decode(text.lower().encode("utf-8"), "strict", self.alphabet)
+            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        # anything else goes through all the library's steps
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text, as ``encode(text, add_special_tokens=False)`` gives them."""
-        return b"".join([self[w] for w in text.lower().split()])
+        return b"".join(map(self.__getitem__, text.lower().split()))
