@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from txstream.llm import gif, gif_media, mixing, packing, queries, token_counts, tokens, warc
+from txstream.llm import features, gif, gif_media, mixing, near_dedup, packing, queries, token_counts, tokens, warc
 from txstream.llm.common import scratch, table
 
 from ..compare import same
@@ -393,6 +394,26 @@ def test_words_that_come_once_take_no_place(monkeypatch):
     assert {b"river", b"stone"} <= set(fresh) and len(fresh) <= 3 and len(fresh.recent) <= 4
 
 
+def test_a_worker_keeps_words_of_one_operator_and_holds_few_rows(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda rows, run, schema, *more: made.append(run) or rows)
+    near_dedup.sketches(spark.createDataFrame([], SCHEMA), 2)
+    packing.cut(spark.createDataFrame([], "doc_id long, part long, part_start long, doc_tokens long, ids binary"))
+    sketch, cut = made
+    n = 2_500
+    features.vector(b"winter stone", 18)
+    tokens.loaded(tokens.default_path()).ids(b"winter stone")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"river {k} stone" for k in range(n)])], names=["doc_id", "text"])
+    found = list(sketch(iter([batch])))
+    assert max(x.num_rows for x in found) <= 1_000 and [d for x in found for d in x.column(0).to_pylist()] == list(range(n))
+    assert near_dedup._words and not features._words and not tokens._loaded
+    ids = [np.arange(k % 7 + 1, dtype="<u4").tobytes() for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([len(x) // 4 for x in ids]), pa.array(np.cumsum([0, *(len(x) // 4 for x in ids[:-1])])), pa.array(ids)], names=["doc_id", "doc_tokens", "at", "ids"])
+    found = list(cut(iter([batch])))
+    assert [t for x in found for piece in x.column(7).to_pylist() for t in piece] == np.frombuffer(b"".join(ids), "<u4").tolist()
+    assert not near_dedup._words and not features._words and not tokens._loaded
+
+
 def test_marks_and_capitals_without_the_library():
     fresh = tokens.WordTokenizer(tokens.default_path())
     text = 'river*** Stone,### Ñar%%% ÉTÉ&&& ciónÀ!! wo) ß." été::: a,b'

@@ -1,10 +1,13 @@
-"""What the operators of this subpackage share: tables in the cluster's shared folder, bounded label samples, words and hashes.
+"""What the operators of this subpackage share: tables in the cluster's shared folder, bounded label samples, the memory of
+Python workers, words and hashes.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]+``; on UTF-8 bytes that is exactly ``bytes.split()``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -58,6 +61,48 @@ def carried(docs: DataFrame, carry: tuple[str, ...], own: list) -> tuple[DataFra
     return docs.select(*own, *more), [len(own) - 1 if s else next(others) for s in same]
 
 
+# ---------------------------------------------------------------- memory of Python workers
+#: Rows that a Python worker holds at once as objects, texts and results; a batch of Spark's has up to 10,000.
+ROWS = 1_000
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, release: Callable[[], None]) -> None:
+    """What ``release`` frees is kept between the tasks of those operators alone that begin under this name."""
+    _holders[name] = release
+
+
+def begun(name: str | None) -> None:
+    """Let go of what other operators keep in this process: a worker serves one stage after another, as long as it lives."""
+    for other, release in _holders.items():
+        if other != name:
+            release()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give freed memory back to the system: Arrow's, and what small objects leave between others."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str | None = None):
+    """``run`` on ROWS rows at a time, beside what is kept under ``name`` alone."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(name)
+        yield from run(slices(batches))
+        trimmed()
+
+    return task
+
+
 # ---------------------------------------------------------------- words and hashes
 #: A word cache stops taking new words here (some 20 MB); words beyond it are hashed each time.
 CACHE_WORDS = 100_000

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import M1, M2, M3, WordHash, mixed
+from .common import M1, M2, M3, WordHash, holds, mixed
 
 _SHAPE = np.uint64(0xFF)
 
@@ -103,6 +103,9 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 #: One cache for each Python process, as the functions of a module are shared by its tasks.
 _words = ShapedWords()
+#: It is kept under this name.
+NAME = "features"
+holds(NAME, _words.clear)
 
 
 def vector(text: bytes | None, bits: int, chars: int = 0) -> tuple[np.ndarray, np.ndarray]:

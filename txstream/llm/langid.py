@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried
+from .common import carried, frugal
 
 UNKNOWN = "und"
 BITS = 16
@@ -243,4 +243,4 @@ def identify(docs: DataFrame, model: Model, held_out: Column | None = None, carr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *[batch.column(k) for k in places]], names=[*fields, *(f"carry_{k}" for k in range(len(carry)))])
 
     types = "".join(f", carry_{k} {rows.schema.fields[at].dataType.simpleString()}" for k, at in enumerate(places))
-    return rows.mapInArrow(run, _FOUND + types)
+    return rows.mapInArrow(frugal(run), _FOUND + types)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..operators.joins import looked_up
-from .common import WordHash, released, stored, texts, windows
+from .common import WordHash, frugal, holds, released, stored, texts, windows
 
 HASHES, ROWS, BANDS = 128, 4, 24
 BATCH, MISS = 16, 1e-6
@@ -57,6 +57,8 @@ _random = np.random.default_rng(20_011)
 _A = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _words = WordHash()
+_NAME = "near_dedup"
+holds(_NAME, _words.clear)
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -130,7 +132,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(small, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "minima", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run, _NAME), _SKETCH)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -141,7 +143,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(t, size).tobytes() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").mapInArrow(frugal(run, _NAME), _SETS)
 
 
 def compared(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:

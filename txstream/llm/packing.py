@@ -21,22 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import stored, texts
+from .common import frugal, stored, texts
 
 LENGTH = 4096
 END_ID = 2
-#: Rows that a Python worker holds at once, as texts and as ids.
-ROWS = 1_000
 _IDS = "doc_id long, part long, part_start long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, part_start (tokens before it in its partition), doc_tokens, ids (4 bytes each, closed by end_id)."""
     path = path or tokens.default_path()
@@ -44,7 +36,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = tokens.loaded(path).ids, TaskContext.get().partitionId(), 0
-        for batch in _slices(batches):
+        for batch in batches:
             column = [encode(t or b"") + end for t in texts(batch.column(1))]
             lengths = np.array([len(x) // 4 for x in column], dtype=np.int64)
             starts = before + np.cumsum(lengths) - lengths
@@ -54,7 +46,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
                 names=["doc_id", "part", "part_start", "doc_tokens", "ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _IDS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run, tokens.NAME), _IDS)
 
 
 def offsets(ids: DataFrame) -> DataFrame:
@@ -68,7 +60,7 @@ def cut(ids: DataFrame, length: int = LENGTH, with_ids: bool = True) -> DataFram
     """Pieces of every document: its tokens in [start, start + length) lie in ``sequence_id`` from ``offset``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in batches:
             doc, total, at = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             first, last = at // length, (at + total - 1) // length
             pieces = last - first + 1
@@ -89,7 +81,7 @@ def cut(ids: DataFrame, length: int = LENGTH, with_ids: bool = True) -> DataFram
 
     schema = _PIECES if with_ids else _PIECES.rsplit(",", 1)[0]
     placed = ids.join(F.broadcast(offsets(ids)), "part")  # a row for each partition of the input: bounded by its task count
-    return placed.select("doc_id", "doc_tokens", (F.col("part_offset") + F.col("part_start")).alias("at"), "ids").mapInArrow(run, schema)
+    return placed.select("doc_id", "doc_tokens", (F.col("part_offset") + F.col("part_start")).alias("at"), "ids").mapInArrow(frugal(run), schema)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, mixed, texts
-from .features import vector
+from .common import carried, frugal, mixed, texts
+from .features import NAME, vector
 from .labelled import labelled_ids, vectors
 
 MIN_WORDS = 50
@@ -153,4 +153,4 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: tu
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *[batch.column(k) for k in places]], names=[*fields, *(f"carry_{k}" for k in range(len(carry)))])
 
     types = "".join(f", carry_{k} {rows.schema.fields[at].dataType.simpleString()}" for k, at in enumerate(places))
-    return rows.mapInArrow(run, _RULES + types)
+    return rows.mapInArrow(frugal(run, NAME), _RULES + types)

@@ -15,6 +15,8 @@ import os
 import re
 from array import array
 
+from .common import holds
+
 #: Words whose ids are kept for good, and words seen once lately (some 45 MB in a Python worker together); others are
 #: encoded each time.
 CACHE_WORDS = 200_000
@@ -27,6 +29,9 @@ _LETTERS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = b'!"#$%&)*,.:;?'
 _TAIL = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([" + _MARKS + rb"]+)\Z")
 _loaded: dict[str, "WordTokenizer"] = {}
+#: What operators that count or write tokens keep is kept under this name.
+NAME = "tokens"
+holds(NAME, _loaded.clear)
 
 
 def default_path() -> str:
@@ -36,7 +41,7 @@ def default_path() -> str:
 
 
 def loaded(path: str) -> "WordTokenizer":
-    """One tokenizer for each file and Python process; its cache lives as long as the worker."""
+    """One tokenizer for each file and Python process, until an operator begins there that has no use for it."""
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
